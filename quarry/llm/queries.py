@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import density, frequent, similar
+from quarry.llm import density, frequent, leakage, packing, residue, similar
 from quarry.session import Scratch, load
 
 DIM, RADIUS = 128, 0.75
@@ -53,6 +53,46 @@ def p4_clusters(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("cluster").alias("cluster_pid"), "size", F.round("weight", 3).alias("total_weight"), "typical")
 
 
+def _packed(spark: SparkSession, d: str, spec: int) -> tuple[DataFrame, int]:
+    """The packing of all documents into containers of one specification."""
+    scratch = Scratch(spark, "packing")
+    capacity = load(spark, d, "container_spec").where(F.col("spec_id") == spec).first()["capacity_tokens"]
+    return packing.pack(packing.token_counts(load(spark, d, "documents"), "doc_id", "text"), capacity, scratch), capacity
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    packed, _ = _packed(spark, d, 1)
+    return packing.cut_items(packed).select(F.col("id").alias("doc_id"))
+
+
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    """The containers of specification 1 with their documents and unused space."""
+    packed, capacity = _packed(spark, d, 1)
+    return packing.containers(packed, capacity)
+
+
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked_passages(load(spark, d, "documents"), load(spark, d, "eval_item"), "doc_id", "text", "item_id", ["prompt", "answer"], 12)
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).select("doc_id", "item_id").distinct()
+
+
+def p7_passages(spark: SparkSession, d: str) -> DataFrame:
+    """Every leak with its field, length in words and place in the original text."""
+    return _leaks(spark, d)
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue(load(spark, d, "documents"), "doc_id", "text").select("doc_id")
+
+
+def p8_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """The documents to exclude with the kind of residue and its evidence."""
+    return residue.residue(load(spark, d, "documents"), "doc_id", "text")
+
+
 _EDGES = """e AS (SELECT eid, max(CASE WHEN v0 >= 0 THEN v0 END) AS v0, max(CASE WHEN v1 >= 0 THEN v1 END) AS v1 FROM packed_edge WHERE eid IS NOT NULL GROUP BY eid),
 l AS (SELECT 'v0' AS endpoint, v0::BIGINT AS vertex FROM e WHERE v0 IS NOT NULL UNION ALL SELECT 'v1', v1 FROM e WHERE v1 IS NOT NULL),
 c AS (SELECT endpoint, vertex, count(*) AS n FROM l GROUP BY ALL),
@@ -63,7 +103,7 @@ _PAIRS = """pts AS (SELECT DISTINCT pid, coord::DOUBLE[128] AS c FROM (
   WHERE len(ok) = 128 AND len(list_filter(ok, lambda x: x <> 0)) > 0),
 near AS (SELECT a.pid AS a, b.pid AS b, array_distance(a.c, b.c) AS dist FROM pts a JOIN pts b ON a.pid <> b.pid WHERE array_distance(a.c, b.c) <= 0.75)"""
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_counts": p3_counts, "p4_found": p4_found, "p4_clusters": p4_clusters}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_counts": p3_counts, "p4_found": p4_found, "p4_clusters": p4_clusters, "p6_found": p6_found, "p6_containers": p6_containers, "p7_found": p7_found, "p7_passages": p7_passages, "p8_found": p8_found, "p8_reasons": p8_reasons}
 
 SQL = {
     "p1_found": f"""WITH {_PAIRS}, r AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY dist, b) AS rn FROM near)
