@@ -67,7 +67,7 @@ def pagerank(g: Graph, rounds: int = 10, damping: float = 0.85) -> DataFrame:
     return cur.select("id", "rank")
 
 
-def pagerank_delta(g: Graph, damping: float = 0.85, eps: float = 1e-9, max_rounds: int = 100) -> DataFrame:
+def pagerank_delta(g: Graph, damping: float = 0.85, eps: float = 1e-9, max_rounds: int = 1000) -> DataFrame:
     """``id, rank``: the delta form in single precision.
 
     Each vertex sends its change divided by its adjacency size, receivers add d times the sum

@@ -67,8 +67,11 @@ def _lists(block: np.ndarray, n_blocks: int, columns: list[np.ndarray]) -> tuple
 
 
 def _block_count(df: DataFrame, per_block: int) -> int:
+    """Blocks from the plan's size, or from a count where the plan has none (in-memory rows)."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(parts, row_bytes_estimate(df) // 24 // per_block + 1)
+    size = row_bytes_estimate(df)
+    rows = size // 24 if size < 1 << 50 else df.count()
+    return max(parts, rows // per_block + 1)
 
 
 def key_mode(df: DataFrame, key: str, value: str, min_rows: int = 1, block_cells: int = BLOCK_CELLS) -> DataFrame:

@@ -3,8 +3,16 @@
 from pyspark.sql import types as T
 
 
-def _struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_TYPES = {"LONG": T.LongType(), "INT": T.IntegerType(), "SHORT": T.ShortType(), "DOUBLE": T.DoubleType(), "FLOAT": T.FloatType(), "STRING": T.StringType(), "BOOLEAN": T.BooleanType()}
+
+
+def _struct(fields: str) -> T.StructType:
+    """``name TYPE, ...`` as a struct; unlike Spark's parser this needs no session at import."""
+    out = T.StructType()
+    for field in fields.split(", "):
+        name, kind = field.split(" ")
+        out.add(name, T.ArrayType(_TYPES[kind[6:-1]]) if kind.startswith("ARRAY<") else _TYPES[kind])
+    return out
 
 
 EDGES = _struct("src LONG, dst LONG, weight DOUBLE")
