@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quarry.graph.build import Graph
@@ -31,14 +31,20 @@ def superstep(active: DataFrame, g: Graph, message: Callable[[], dict[str, Colum
 
 
 def iterate(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], active_flag: str = "active", max_rounds: int = 100_000, label: str = "steps") -> DataFrame:
-    """Repeats ``step(state, round)`` while any row is active. Each round is written once, which cuts
-    the lineage; the count of active rows comes from the written table."""
+    """Repeats ``step(state, round)`` while any row is active. Each round is one job: its state is
+    written, which cuts the lineage, and the active rows are counted while it is."""
     scratch = Scratch(state.sparkSession, label)
-    cur = scratch.write(state)
+
+    def keep(df: DataFrame) -> tuple[DataFrame, int]:
+        seen = Observation()
+        out = scratch.write(df.observe(seen, F.count_if(F.col(active_flag)).alias("n")))
+        return out, seen.get["n"]
+
+    cur, active = keep(state)
     for k in range(1, max_rounds + 1):
-        if not cur.where(F.col(active_flag)).limit(1).count():
+        if not active:
             return cur
-        new = scratch.write(step(cur, k))
+        new, active = keep(step(cur, k))
         scratch.drop(cur)
         cur = new
     raise RuntimeError(f"not settled after {max_rounds} rounds")
