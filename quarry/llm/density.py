@@ -89,7 +89,7 @@ def _survey(block: V.Block, k: int, r2: float):
         yield {"kind": np.full(len(other), 2, np.int8), "id": uid[other], "other": uid[label[other]], "x": np.zeros(len(other))}
 
 
-def density_peaks(df: DataFrame, id_col: str, vec_col: str, dim: int, radius: float, k: int = 8, tables: int = 5, hashes: int = 2, seed: int = 11, cap: int = V.BLOCK_CAP) -> DataFrame:
+def density_peaks(df: DataFrame, id_col: str, vec_col: str, dim: int, radius: float, k: int = 4, tables: int = 5, hashes: int = 2, seed: int = 11, cap: int = V.BLOCK_CAP) -> DataFrame:
     """Columns ``id, cluster, density, peak``: every valid vector with its cluster.
 
     ``cluster`` is the smallest id of the cluster, ``density`` the number of other points within
