@@ -161,12 +161,12 @@ def open_gain(spark, d):
 
 
 def stream_medians(spark, d):
-    """Points in chunks of equal id ranges through the stream clusterer."""
+    """Points in chunks of equal id ranges through the median stream."""
     from quarry.session import scratch_dir
     import uuid
 
     pts = load(spark, d, "points").select("pid", "weight", "coord")
-    state = kmedian.StreamClusterer(spark, f"{scratch_dir(spark)}/medians-{uuid.uuid4().hex}", 128, 5, 10)
+    state = kmedian.MedianStream(spark, f"{scratch_dir(spark)}/medians-{uuid.uuid4().hex}", 128, 5, 10)
     for k in range(2):
         state.process(pts.where(F.col("pid") % 2 == k), k)
     return state.finish().select("id", F.round("weight", 3).alias("weight"))

@@ -205,7 +205,7 @@ def centroids(assigned: DataFrame) -> DataFrame:
     return sums.groupBy("centre").agg(F.first("weight").alias("weight"), F.sort_array(F.collect_list(F.struct("i", "x"))).alias("s")).select(F.col("centre").alias("id"), "weight", F.transform("s", lambda v: v["x"]).alias("coord"))
 
 
-class StreamClusterer:
+class MedianStream:
     """Batches in, centres out; state is a table of centroids, one part per batch.
 
     ``process`` may run again for a batch (its part is overwritten), so it fits ``foreachBatch``.

@@ -171,7 +171,7 @@ def test_kmedian(spark, tmp_path):
     assert {tuple(np.round(np.array(r["coord"]) / 10)) for r in c} == {(0, 0), (1, 0), (0, 1)}
     pts.repartition(3).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("pid long, weight float, coord array<float>").parquet(str(tmp_path / "in"))
-    s = kmedian.StreamClusterer(spark, str(tmp_path / "state"), 2, 3, 3)
+    s = kmedian.MedianStream(spark, str(tmp_path / "state"), 2, 3, 3)
     assert s.run(stream, str(tmp_path / "cp")).agg(F.sum("weight")).first()[0] == pytest.approx(300)
 
 
