@@ -1,4 +1,8 @@
-"""Array and graph queries on a graph derived from orders, and on the edge table."""
+"""Array and graph queries on the edge table, and on the small graph of orders that some SQL states.
+
+The queries whose SQL fixes the graph of orders (``order_edges``) have a counterpart ``edge_*`` over
+the whole edge table; all others run on the edge table only.
+"""
 
 from __future__ import annotations
 
@@ -22,6 +26,30 @@ def _graph(spark: SparkSession, d: str, weighted: bool = False) -> build.Graph:
     return build.build(order_edges(spark, d), weighted=weighted)
 
 
+def edge_rows(spark: SparkSession, d: str) -> DataFrame:
+    """``src, dst`` of all rows of the edge table whose ends are both present and not negative."""
+    return load(spark, d, "packed_edge").where("v0 >= 0 and v1 >= 0").select(F.col("v0").alias("src"), F.col("v1").alias("dst"))
+
+
+def edge_lengths(spark: SparkSession, d: str) -> DataFrame:
+    """``src, dst, weight`` of every edge (by eid) with a finite weight that is not negative.
+
+    Of redelivered rows the latest one with such a weight counts; an edge without any has no length
+    and cannot be walked. Rows without an eid cannot be told apart and are skipped.
+    """
+    ok = load(spark, d, "packed_edge").where("eid is not null and v0 >= 0 and v1 >= 0").where(~F.isnan("data") & (F.col("data") >= 0) & (F.col("data") < float("inf")))
+    one = ok.groupBy("eid").agg(F.max(F.struct("loaded_at", "data", "v0", "v1")).alias("s"))
+    return one.select(F.col("s.v0").alias("src"), F.col("s.v1").alias("dst"), F.col("s.data").alias("weight"))
+
+
+def _edge_graph(spark: SparkSession, d: str) -> build.Graph:
+    return build.build(edge_rows(spark, d))
+
+
+def _length_graph(spark: SparkSession, d: str) -> build.Graph:
+    return build.build(edge_lengths(spark, d), weighted=True)
+
+
 def _root(g: build.Graph) -> int:
     return g.vertices.agg(F.min("id")).first()[0]
 
@@ -50,8 +78,9 @@ def pagerank_k10(spark, d):
 
 
 def pagerank_single(spark, d):
-    """Delta form in single precision; ranks to six digits."""
-    return algorithms.pagerank_delta(_graph(spark, d)).select("id", F.round(F.col("rank").cast("double"), 6).alias("rank"))
+    """Delta form in single precision over the edge table; ranks to twelve places, as a vertex of a
+    large graph has a rank far below a millionth."""
+    return algorithms.pagerank_delta(_edge_graph(spark, d)).select("id", F.round(F.col("rank").cast("double"), 12).alias("rank"))
 
 
 def degree_table(spark, d):
@@ -68,35 +97,67 @@ def frontier_size(spark, d):
 
 
 def validate_bfs(spark, d):
-    g = _graph(spark, d)
+    g = _edge_graph(spark, d)
     r = _root(g)
     return validate.check_bfs(g, algorithms.bfs(g, r), r).drop("traversed")
 
 
 def validate_cc(spark, d):
-    g = _graph(spark, d)
+    g = _edge_graph(spark, d)
     return validate.check_components(g, algorithms.connected_components(g))
 
 
 def validate_sssp(spark, d):
-    g = _graph(spark, d, True)
+    g = _length_graph(spark, d)
     r = _root(g)
     return validate.check_sssp(g, algorithms.sssp(g, r), r)
 
 
 def edge_components(spark, d):
     """Components of every load of the edge table, all its rows."""
-    e = load(spark, d, "packed_edge").where("v0 >= 0 and v1 >= 0").select(F.col("v0").alias("src"), F.col("v1").alias("dst"))
     from quarry.graph.components import connected_components
 
-    cc = connected_components(e)
+    cc = connected_components(edge_rows(spark, d))
     return cc.groupBy("component").agg(F.count(F.lit(1)).alias("vertices"))
 
 
 def edge_degrees(spark, d):
     """Undirected degree of every vertex of the edge table, repeated rows and self-loops once."""
-    e = load(spark, d, "packed_edge").where("v0 >= 0 and v1 >= 0").select(F.col("v0").alias("src"), F.col("v1").alias("dst"))
-    return build.degrees(build.build(e, keep=False)).select("id", "out_degree")
+    return build.degrees(build.build(edge_rows(spark, d), keep=False)).select("id", "out_degree")
+
+
+def edge_labels(spark, d):
+    """Component of every vertex of the edge table."""
+    return algorithms.connected_components(_edge_graph(spark, d))
+
+
+def edge_depth(spark, d):
+    g = _edge_graph(spark, d)
+    return algorithms.bfs(g, _root(g)).select("id", "depth")
+
+
+def edge_parent(spark, d):
+    g = _edge_graph(spark, d)
+    return algorithms.bfs(g, _root(g)).select("id", "parent")
+
+
+def edge_dist(spark, d):
+    g = _length_graph(spark, d)
+    return algorithms.sssp(g, _root(g)).where("parent >= 0").select("id", F.round("dist", 6).alias("dist"))
+
+
+def edge_pagerank(spark, d):
+    return algorithms.pagerank(_edge_graph(spark, d), 10).select("id", F.round("rank", 12).alias("rank"))
+
+
+def edge_summary(spark, d):
+    return build.summary(_edge_graph(spark, d))
+
+
+def edge_frontier(spark, d):
+    """Size of a frontier of all vertices."""
+    g = _edge_graph(spark, d)
+    return build.frontier_size(g.vertices, build.degrees(g))
 
 
 def reduce_ops(spark, d):
@@ -147,7 +208,7 @@ _PAIR = "ed AS (SELECT DISTINCT src, dst FROM (SELECT v0::BIGINT AS src, v1::BIG
 
 QUERIES = {
     f.__name__: f
-    for f in (cc_labels, bfs_depth, bfs_parent, sssp_dist, pagerank_k10, pagerank_single, degree_table, graph_summary, frontier_size, validate_bfs, validate_cc, validate_sssp, edge_components, edge_degrees, reduce_ops, allreduce_max, array_fill_map, gups_xor)
+    for f in (cc_labels, bfs_depth, bfs_parent, sssp_dist, pagerank_k10, pagerank_single, degree_table, graph_summary, frontier_size, validate_bfs, validate_cc, validate_sssp, edge_components, edge_degrees, edge_labels, edge_depth, edge_parent, edge_dist, edge_pagerank, edge_summary, edge_frontier, reduce_ops, allreduce_max, array_fill_map, gups_xor)
 }
 
 SQL = {
@@ -177,6 +238,8 @@ SELECT id, round(dist, 6) AS dist FROM s""",
   SELECT ed.dst AS id, min(c.component) AS component FROM c JOIN ed ON ed.src = c.id JOIN recurring.c r ON r.id = ed.dst WHERE c.component < r.component GROUP BY ed.dst)
 SELECT component, count(*) AS vertices FROM c GROUP BY component""",
     "edge_degrees": f"WITH {_PAIR} SELECT src AS id, count(*) AS out_degree FROM ed GROUP BY src",
+    "edge_summary": f"WITH {_PAIR}, deg AS (SELECT src, count(*) AS n FROM ed GROUP BY src) SELECT count(*) AS vertices, sum(n)::BIGINT AS edges, max(n) AS max_degree, 0::BIGINT AS isolated FROM deg",
+    "edge_frontier": f"WITH {_PAIR} SELECT (2 * count(*) + count(DISTINCT src))::BIGINT AS size FROM ed",
     "reduce_ops": """SELECT sum(k)::BIGINT AS r_add, sum(k)::BIGINT AS r_sum, max(k) AS r_max, min(k) AS r_min, product(k) FILTER (k BETWEEN 1 AND 8) AS r_prod, product(k) FILTER (k BETWEEN 1 AND 8) AS r_mult,
   bit_or(k) AS "r_or", bit_or(k) AS r_bor, bool_or(k <> 0)::BIGINT AS r_lor, bit_and(k) AS "r_and", bit_and(k) AS r_band, bool_and(k <> 0)::BIGINT AS r_land, bit_xor(k) AS r_xor, bit_xor(k) AS r_bxor, bit_xor((k <> 0)::BIGINT) AS r_lxor
 FROM (SELECT n_nationkey::BIGINT AS k FROM nation)""",
