@@ -18,7 +18,7 @@ from quarry.graph.components import connected_components
 from quarry.llm import vectors as V
 from quarry.session import Scratch
 
-#: kind 0: neighbour (id, other, d2); kind 1: density (id, count); kind 2: link (id, other)
+#: kind 0: neighbour (id, other, d2); kind 1: part of a density (id, count); kind 2: link (id, other)
 _SCHEMA = pa.schema([("kind", pa.int8()), ("id", pa.int64()), ("other", pa.int64()), ("x", pa.float64())])
 _DDL = "kind byte, id long, other long, x double"
 
@@ -39,6 +39,12 @@ def _forest(n: int, links) -> np.ndarray:
     return label
 
 
+def _weigh(near: np.ndarray, copies: np.ndarray) -> np.ndarray:
+    """Sum of ``copies`` over the true columns of every row."""
+    many = np.flatnonzero(copies > 1)
+    return near.sum(1) + (near[:, many].astype(np.float64) @ (copies[many] - 1.0)).astype(np.int64)
+
+
 def _survey(block: V.Block, k: int, r2: float):
     for out in V.block_neighbours(block, k, r2):
         yield {"kind": np.zeros(len(out["id"]), np.int8), "id": out["id"], "other": out["other"], "x": out["d2"]}
@@ -46,7 +52,9 @@ def _survey(block: V.Block, k: int, r2: float):
     stored, query = block.stored, block.query
     # Links between stored and querying rows, packed to bits row by row.
     bits = np.zeros((len(stored), (len(query) + 7) // 8), np.uint8)
-    count = np.zeros(len(stored), np.int64)
+    # Neighbours that no earlier table has counted, each with its copies.
+    count, probed = np.zeros(len(stored), np.int64), np.zeros(len(query), np.int64)
+    is_probe = np.isin(query, block.probe, assume_unique=True)
     step = max(1, (8 << 20) // max(1, len(query)))
     for s in range(0, len(stored), step):
         d = block.rough(stored[s : s + step], query)
@@ -54,9 +62,18 @@ def _survey(block: V.Block, k: int, r2: float):
         i, j = np.nonzero((d <= r2 + 2 * block.eps) & ~near)
         if len(i):
             near[i, j] = block.exact(stored[s + i], query[j]) <= r2
-        count[s : s + step] = near.sum(1)
         bits[s : s + step] = np.packbits(near, axis=1)
-    yield {"kind": np.ones(len(stored), np.int8), "id": block.ids[stored], "other": np.zeros(len(stored), np.int64), "x": count.astype(np.float64)}
+        a, b = block.met[stored[s : s + step]], block.met[query]
+        for t in range(a.shape[1] - 1):
+            near &= ~((a[:, None, t, 0] == b[None, :, t, 0]) | (a[:, None, t, 0] == b[None, :, t, 1]) | (a[:, None, t, 1] == b[None, :, t, 0]))
+        count[s : s + step] = _weigh(near, block.copies[query])
+        # A probe counts what is stored here, but for rows that probe its own bucket: those count there.
+        if is_probe.any():
+            back = near[:, is_probe] & (a[:, None, -1, 1] != b[None, is_probe, -1, 0])
+            probed[is_probe] += _weigh(back.T, block.copies[stored[s : s + step]])
+    for rows, x in ((stored, count), (query, probed)):
+        some = x > 0
+        yield {"kind": np.ones(some.sum(), np.int8), "id": block.ids[rows[some]], "other": np.zeros(some.sum(), np.int64), "x": x[some].astype(np.float64)}
     # Spanning forest over ids: stored rows link to querying rows; equal ids are one vertex.
     uid, at = np.unique(block.ids, return_inverse=True)
     s_at, q_at = at[stored], at[query]
@@ -99,13 +116,13 @@ def density_peaks(df: DataFrame, id_col: str, vec_col: str, dim: int, radius: fl
     spark = df.sparkSession
     scratch = Scratch(spark, "density")
     members, reps = V.copy_groups(V.valid_vectors(df, id_col, vec_col, dim), scratch)
-    rows = V.bucket_rows(reps, dim, tables, hashes, seed, cap, scratch)
+    size = scratch.write(members.groupBy("rep").agg(F.count(F.lit(1)).alias("copies")).select(F.col("rep").alias("id"), "copies"))
+    rows = V.bucket_rows(reps, dim, tables, hashes, seed, cap, scratch, size.where("copies > 1"))
     r2 = radius * radius
     found = scratch.write(V.for_each_block(rows, dim, _SCHEMA, _DDL, lambda b: _survey(b, k, r2)), partition_by=["kind"])
-    # A bucket may see a part of a neighbourhood; the largest count over the tables stands.
-    per_block = found.where("kind = 1").groupBy("id").agg(F.max("x").alias("x"))
-    size = members.groupBy("rep").agg(F.count(F.lit(1)).alias("copies"))
-    dens = scratch.write(size.select(F.col("rep").alias("id"), "copies").join(per_block, "id", "left").select("id", "copies", (F.coalesce("x", F.lit(0.0)) + F.col("copies") - 1).alias("density")))
+    # A block counts every neighbour that no other block or earlier table counts, so the parts add up.
+    per_block = found.where("kind = 1").groupBy("id").agg(F.sum("x").alias("x"))
+    dens = scratch.write(size.join(per_block, "id", "left").select("id", "copies", (F.coalesce("x", F.lit(0.0)) + F.col("copies") - 1).alias("density")))
     near = found.where("kind = 0").select("id", "other", F.col("x").alias("d2"))
     up = (
         near.join(dens.select("id", "density"), "id")

@@ -168,8 +168,12 @@ def centre_of(reps: DataFrame, dim: int) -> tuple[np.ndarray, float]:
     return mean, float(np.sqrt(max(row[0]["q"] / n - mean @ mean, 1e-12)))
 
 
-def bucket_rows(reps: DataFrame, dim: int, tables: int, hashes: int, seed: int, cap: int, scratch: Scratch) -> DataFrame:
-    """Rows ``key, role, id, vec`` (packed vectors) ready to be compared key by key."""
+def bucket_rows(reps: DataFrame, dim: int, tables: int, hashes: int, seed: int, cap: int, scratch: Scratch, copies: DataFrame | None = None) -> DataFrame:
+    """Rows ``key, role, id, vec`` (packed vectors) ready to be compared key by key.
+
+    With ``copies(id, copies)`` every row also carries its number of copies (1 where it is not named)
+    and ``met``: its own and probe bucket in the tables up to that of the row.
+    """
     mean, radius = centre_of(reps, dim)
     lsh = CrossPolytope(dim, mean, radius, tables, hashes, seed)
 
@@ -182,38 +186,46 @@ def bucket_rows(reps: DataFrame, dim: int, tables: int, hashes: int, seed: int,
                 flat = pa.ListArray.from_arrays(np.arange(0, codes.size + 1, 2 * tables, dtype=np.int32), pa.array(codes.reshape(-1)))
                 yield pa.record_batch({"id": c.column("id"), "vec": pa.array(pack(x)[0], pa.binary()), "codes": flat})
 
-    coded = scratch.write(reps.mapInArrow(hashed, "id long, vec binary, codes array<long>"))
+    coded = reps.mapInArrow(hashed, "id long, vec binary, codes array<long>")
+    if copies is not None:
+        coded = coded.join(broadcast_if_small(copies), "id", "left").withColumn("copies", F.coalesce("copies", F.lit(1)).cast("long"))
+    coded = scratch.write(coded)
     n = coded.count()
+    held = ["id", "vec"] if copies is None else ["id", "vec", "copies", "met"]
     own = coded.select(F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), lambda t: F.get(F.col("codes"), 2 * t))).alias("t", "b"))
     # Buckets above the cap number at most tables * n / cap.
     hot = scratch.write(own.groupBy("t", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cap).select("t", "b", F.ceil(F.col("n") / cap).cast("int").alias("nb")))
     probes = F.posexplode(F.col("codes")).alias("i", "b")
-    rows = coded.select("id", "vec", probes).select("id", "vec", F.floor(F.col("i") / 2).cast("int").alias("t"), "b", F.when(F.col("i") % 2 == 0, STORE).otherwise(PROBE).alias("role"))
+    rows = coded.select("*", probes).withColumn("t", F.floor(F.col("i") / 2).cast("int")).withColumn("met", F.slice("codes", F.lit(1), 2 * F.col("t") + 2))
+    rows = rows.select(*held, "t", "b", F.when(F.col("i") % 2 == 0, STORE).otherwise(PROBE).alias("role"))
     if hot.limit(1).count():
         rows = rows.join(broadcast_if_small(hot), ["t", "b"], "left")
         i = F.pmod(F.xxhash64("id"), F.coalesce("nb", F.lit(1))).cast("int")
         rows = rows.withColumn("i", i)
         # A probe goes to (i, every j); a stored row to (i, every j) as query and (every i, j=i) as stored.
         every = F.sequence(F.lit(0), F.coalesce("nb", F.lit(1)) - 1)
-        as_query = rows.select("id", "vec", "t", "b", "i", "role", F.explode(every).alias("j")).withColumn("role", F.when(F.col("role") == PROBE, PROBE).when(F.col("j") == F.col("i"), STORE).otherwise(STORE_AS_QUERY))
-        as_store = rows.where((F.col("role") == STORE) & F.col("nb").isNotNull()).select("id", "vec", "t", "b", F.explode(every).alias("i2"), F.col("i").alias("j")).where("i2 <> j").select("id", "vec", "t", "b", F.col("i2").alias("i"), F.lit(STORE_ONLY).alias("role"), "j")
+        as_query = rows.select(*held, "t", "b", "i", "role", F.explode(every).alias("j")).withColumn("role", F.when(F.col("role") == PROBE, PROBE).when(F.col("j") == F.col("i"), STORE).otherwise(STORE_AS_QUERY))
+        as_store = rows.where((F.col("role") == STORE) & F.col("nb").isNotNull()).select(*held, "t", "b", F.explode(every).alias("i2"), F.col("i").alias("j")).where("i2 <> j").select(*held, "t", "b", F.col("i2").alias("i"), F.lit(STORE_ONLY).alias("role"), "j")
         rows = as_query.unionByName(as_store)
         key = F.xxhash64("t", "b", "i", "j")
     else:
         key = F.xxhash64("t", "b")
     # about 16 MB of packed vectors a task
-    parts = max(int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * tables * 2 * (2 * dim + 40) // (16 << 20) + 1)
-    return rows.select(key.alias("key"), F.col("role").cast("byte").alias("role"), "id", "vec").repartition(parts, "key")
+    extra = 0 if copies is None else 8 * tables + 16
+    parts = max(int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * tables * 2 * (2 * dim + 40 + extra) // (16 << 20) + 1)
+    more = [] if copies is None else ["copies", "met"]
+    return rows.select(key.alias("key"), F.col("role").cast("byte").alias("role"), "id", "vec", *more).repartition(parts, "key")
 
 
 class Block:
     """One bucket block: stored rows, their queries, and squared distances on demand."""
 
-    def __init__(self, ids: np.ndarray, role: np.ndarray, x: np.ndarray):
+    def __init__(self, ids: np.ndarray, role: np.ndarray, x: np.ndarray, copies: np.ndarray | None = None, met: np.ndarray | None = None):
         order = np.lexsort((role, ids))
+        keep = np.append(True, (ids[order][1:] != ids[order][:-1]) | (role[order][1:] != role[order][:-1]))
+        order = order[keep]
         ids, role, x = ids[order], role[order], x[order]
-        keep = np.append(True, (ids[1:] != ids[:-1]) | (role[1:] != role[:-1]))
-        ids, role, x = ids[keep], role[keep], x[keep]
+        self.copies, self.met = (None, None) if copies is None else (copies[order], met[order])
         self.stored = np.flatnonzero((role == STORE) | (role == STORE_ONLY))
         self.query = np.flatnonzero(role != STORE_ONLY)
         self.probe = np.flatnonzero(role == PROBE)
@@ -257,6 +269,8 @@ def for_each_block(rows: DataFrame, dim: int, schema: pa.Schema, ddl: str, work:
         end = np.append(start[1:], len(key))
         ids, role = t.column("id").to_numpy(), t.column("role").to_numpy()
         vec = t.column("vec").combine_chunks()
+        met = t.column("met").combine_chunks() if "met" in t.column_names else None
+        copies = t.column("copies").to_numpy() if met is not None else None
         held: list[dict] = []
         size = 0
         for a, b in zip(start, end):
@@ -265,7 +279,11 @@ def for_each_block(rows: DataFrame, dim: int, schema: pa.Schema, ddl: str, work:
             at = order[a:b]
             if not ((role[at] == STORE) | (role[at] == STORE_ONLY)).any():
                 continue
-            block = Block(ids[at], role[at], unpack(vec.take(pa.array(at)), dim))
+            more = ()
+            if met is not None:
+                m = met.take(pa.array(at))
+                more = copies[at], m.flatten().to_numpy().reshape(len(at), -1, 2)
+            block = Block(ids[at], role[at], unpack(vec.take(pa.array(at)), dim), *more)
             if len(block.ids) < 2:
                 continue
             for out in work(block):

@@ -99,3 +99,21 @@ def test_description(spark):
     w = spark.createDataFrame([(1, 2.0), (2, None), (3, 1.5)], "id long, weight double")
     r = D.describe_clusters(p, w, least=2).collect()
     assert [(x["cluster"], x["size"], x["weight"], x["typical"].split(",")[0]) for x in r] == [(1, 5, 3.5, "3")]
+
+
+@pytest.mark.parametrize("cap", [V.BLOCK_CAP, 12])
+def test_densities_match_brute_force(spark, cap):
+    rng = np.random.default_rng(21)
+    pts = clusters(rng, 160, 16, 3, 0.12)
+    pts += [(500 + i, pts[4][1]) for i in range(40)] + [(600 + i, pts[11][1]) for i in range(7)]  # copies
+    x = np.array([c for _, c in pts], float)
+    near = ((x[:, None] - x[None]) ** 2).sum(2) <= 0.75**2
+    want = {i: int(n) - 1 for (i, _), n in zip(pts, near.sum(1))}
+    p = D.density_peaks(frame(spark, pts), "pid", "coord", 16, 0.75, tables=12, cap=cap)
+    rows = p.collect()
+    assert {r["id"]: r["density"] for r in rows} == want
+    w = spark.createDataFrame([(i, 1.0) for i, _ in pts], "id long, weight double")
+    low = brute_clusters(pts, 0.75)
+    got = {r["cluster"]: [int(i) for i in r["typical"].split(",")] for r in D.describe_clusters(p, w, least=3).collect()}
+    best = {c: sorted((i for i in low if low[i] == c), key=lambda i: (-want[i], i))[:3] for c in set(low.values())}
+    assert got == {c: t for c, t in best.items() if sum(v == c for v in low.values()) >= 3}
