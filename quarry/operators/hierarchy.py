@@ -226,7 +226,7 @@ def _merge_wide(local: DataFrame, largest: int, with_path: bool, scratch: Scratc
     ring = tl.where(F.col("st") == OPEN)
     if ring.limit(1).count():
         local_path = cur.select("g", "v", "p")
-        tl = scratch.write(tl.where(F.col("st") != OPEN).unionByName(_ring_minimum(ring, local_path, scratch)))
+        tl = scratch.write(tl.where(F.col("st") != OPEN).unionByName(_ring_minimum(ring, local_path, largest, scratch)))
     ends = tl.select("g", "top", F.col("ptr").alias("end"), F.col("o").alias("more"), F.col("st").alias("end_st"), "seg")
     merged = cur.join(ends, ["g", "top"], "left").select(
         "g", "v", "p",
@@ -239,24 +239,26 @@ def _merge_wide(local: DataFrame, largest: int, with_path: bool, scratch: Scratc
     return done.unionByName(merged)
 
 
-def _ring_minimum(ring: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+def _ring_minimum(ring: DataFrame, links: DataFrame, largest: int, scratch: Scratch) -> DataFrame:
     """Tops that run into a cycle, with the smallest vertex on that cycle as their end.
 
     Each top's pointer has walked past the tail, so the set of pointers lies on cycles. From those,
-    the vertices on the cycle are walked by doubling once more, over plain vertices.
+    the vertices on the cycle are walked by doubling once more, over plain vertices, until the span
+    exceeds the largest group: only some vertices of a cycle are starts, so a round that changes no
+    minimum proves nothing.
     """
+    links = links.join(ring.select("g").distinct(), "g", "left_semi")
     on = ring.select("g", F.col("ptr").alias("v")).distinct()
     # Vertices reachable from the cycle are exactly the cycle: expand along links until nothing is new.
     reach = scratch.write(links.join(on, ["g", "v"], "left_semi").select("g", F.col("v").alias("start"), F.col("p").alias("ptr"), F.least("v", "p").alias("low")))
     step = scratch.write(links.select("g", F.col("v").alias("ptr"), F.col("p").alias("ptr2"), F.least("v", "p").alias("low2")))
-    while True:
+    span = 1
+    while span < largest:
         new = scratch.write(reach.join(step, ["g", "ptr"]).select("g", "start", F.col("ptr2").alias("ptr"), F.least("low", "low2").alias("low")))
         grown = scratch.write(step.join(step.select("g", F.col("ptr").alias("ptr2"), F.col("ptr2").alias("ptr3"), F.col("low2").alias("low3")), ["g", "ptr2"]).select("g", "ptr", F.col("ptr3").alias("ptr2"), F.least("low2", "low3").alias("low2")))
-        same = new.join(reach.select("g", "start", F.col("low").alias("was")), ["g", "start"]).where(F.col("low") != F.col("was")).limit(1).count() == 0
         scratch.drop(reach)
         scratch.drop(step)
         reach, step = new, grown
-        if same:
-            break
+        span *= 2
     lows = reach.select("g", F.col("start").alias("ptr"), F.col("low").alias("ring_low"))
     return ring.join(lows, ["g", "ptr"], "left").select("g", "top", F.col("ring_low").alias("ptr"), F.lit(-1).cast("long").alias("o"), F.lit(CYCLIC).alias("st"), "low", "seg")

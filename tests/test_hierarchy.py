@@ -3,6 +3,7 @@ import random
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quarry.operators import hierarchy as H
 
@@ -80,3 +81,15 @@ def test_paths(spark, block):
 def test_property(spark, rows, block):
     links = {(a, b): c for a, b, c in rows}
     assert solve(spark, [(a, b, c, 0) for (a, b), c in links.items()], block_rows=block) == brute(links)
+
+
+@pytest.mark.parametrize("length", [5, 8])
+def test_one_short_cycle_over_two_blocks(spark, length):
+    # all but one vertex in one block; the other block holds the second smallest, which the walk meets first
+    side = {r["id"]: r["b"] for r in spark.range(200).select("id", F.pmod(F.xxhash64("id"), F.lit(2)).alias("b")).collect()}
+    low = min(v for v in side if side[v] == 0)
+    second = min(v for v in side if side[v] == 1 and v > low)
+    rest = [v for v in side if side[v] == 0 and v > second][: length - 2]
+    ring = [*rest[:2], low, *rest[2:], second]
+    rows = [(1, a, b, 0) for a, b in zip(ring, ring[1:] + ring[:1])]
+    assert solve(spark, rows, block_rows=length - 1) == brute({(a, b): c for a, b, c, _ in rows})
