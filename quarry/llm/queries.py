@@ -53,22 +53,26 @@ def p4_clusters(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("cluster").alias("cluster_pid"), "size", F.round("weight", 3).alias("total_weight"), "typical")
 
 
-def _packed(spark: SparkSession, d: str, spec: int) -> tuple[DataFrame, int]:
-    """The packing of all documents into containers of one specification."""
-    scratch = Scratch(spark, "packing")
-    capacity = load(spark, d, "container_spec").where(F.col("spec_id") == spec).first()["capacity_tokens"]
-    return packing.pack(packing.token_counts(load(spark, d, "documents"), "doc_id", "text"), capacity, scratch), capacity
-
-
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    packed, _ = _packed(spark, d, 1)
+    scratch = Scratch(spark, "packing")
+    capacity = load(spark, d, "container_spec").where(F.col("spec_id") == 1).first()["capacity_tokens"]
+    packed = packing.pack(packing.token_counts(load(spark, d, "documents"), "doc_id", "text"), capacity, scratch)
     return packing.cut_items(packed).select(F.col("id").alias("doc_id"))
 
 
 def p6_containers(spark: SparkSession, d: str) -> DataFrame:
-    """The containers of specification 1 with their documents and unused space."""
-    packed, capacity = _packed(spark, d, 1)
-    return packing.containers(packed, capacity)
+    """The containers of every specification with their documents and unused space.
+
+    Specifications without an id or without a capacity above zero name no container.
+    """
+    scratch = Scratch(spark, "packing")
+    specs = load(spark, d, "container_spec").where("spec_id is not null and capacity_tokens > 0").select("spec_id", "capacity_tokens").distinct().orderBy("spec_id").collect()
+    sizes = scratch.write(packing.token_counts(load(spark, d, "documents"), "doc_id", "text"))
+    out = spark.createDataFrame([], "spec_id int, container string, items long, used long, unused long, documents array<long>")
+    for spec, capacity in specs:
+        packed = packing.containers(packing.pack(sizes, capacity), capacity)
+        out = out.unionByName(packed.withColumn("spec_id", F.lit(spec).cast("int")))
+    return out
 
 
 def _leaks(spark: SparkSession, d: str) -> DataFrame:

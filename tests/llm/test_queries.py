@@ -18,3 +18,13 @@ def test_sql(spark, sf, name):
 @pytest.mark.parametrize("name", ["p6_found", "p7_found", "p8_found", "p4_clusters"])
 def test_runs(spark, sf, name):
     assert queries.QUERIES[name](spark, sf).count() >= 0
+
+
+def test_containers_of_every_specification(spark, sf):
+    got = queries.p6_containers(spark, sf).collect()
+    capacity = {r["spec_id"]: r["capacity_tokens"] for r in spark.read.parquet(f"{sf}/container_spec.parquet").collect()}
+    assert {r["spec_id"] for r in got} == set(capacity) and len(capacity) == 3
+    assert all(r["used"] + r["unused"] == capacity[r["spec_id"]] and r["unused"] >= 0 for r in got)
+    total = {s: sum(r["used"] for r in got if r["spec_id"] == s) for s in capacity}
+    docs = {s: {i for r in got if r["spec_id"] == s for i in r["documents"]} for s in capacity}
+    assert len(set(total.values())) == 1 and docs[1] == docs[2] == docs[3] != set()
