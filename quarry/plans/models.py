@@ -102,7 +102,7 @@ def glm_fold_train(spark, d):
 
 
 def admm_model(spark, d):
-    return _vector_frame(spark, models.admm(rows(spark, d), WIDTH, 3))
+    return _vector_frame(spark, models.admm(rows(spark, d), WIDTH))
 
 
 def least_squares_exact(spark, d):
@@ -111,16 +111,27 @@ def least_squares_exact(spark, d):
     return spark.createDataFrame([(i, j, round(float(g[i, j]), 5)) for i in range(8) for j in range(8)], "i int, j int, g double")
 
 
+def gram_matrix(spark, d):
+    """All cells of the Gram matrix."""
+    g = select.gram(rows(spark, d), WIDTH)
+    return spark.createDataFrame([(i, j, round(float(g[i, j]), 5)) for i in range(WIDTH) for j in range(WIDTH)], "i int, j int, g double")
+
+
+def least_squares_model(spark, d):
+    """The solved least-squares model over all features."""
+    return _vector_frame(spark, select.least_squares(rows(spark, d), WIDTH))
+
+
 def step_drop_features(spark, d):
-    """Losses without each of the first six features."""
-    base = list(range(12))
-    t = select.step_search(rows(spark, d), {str(f): select.remove_columns(base, [f]) for f in range(6)}, 2, 0.0001)
+    """Losses without each of the features."""
+    base = list(range(WIDTH))
+    t = select.step_search(rows(spark, d), {str(f): select.remove_columns(base, [f]) for f in base}, rate=0.0001)
     return t.select("candidate", F.round("loss", 8).alias("loss"))
 
 
 def coreset_rows(spark, d):
     """A leverage-weighted sample with repetition."""
-    return select.coreset(rows(spark, d), WIDTH, 2).select("draw", "row_id")
+    return select.coreset(rows(spark, d), WIDTH).select("draw", "row_id")
 
 
 def minmax_scale(spark, d):
@@ -180,7 +191,7 @@ dd AS (SELECT pid, x, centre, list_sum(list_transform(list_zip(x, cx), lambda z:
 QUERIES = {
     f.__name__: f
     for f in (
-        glm_loss, ls_loss, svm_loss, perceptron_loss, glm_grad_epoch, glm_column_epoch, glm_sparse_gradient, glm_accuracy, glm_predictions, glm_train, svm_train, glm_fold_train, admm_model, least_squares_exact, step_drop_features,
+        glm_loss, ls_loss, svm_loss, perceptron_loss, glm_grad_epoch, glm_column_epoch, glm_sparse_gradient, glm_accuracy, glm_predictions, glm_train, svm_train, glm_fold_train, admm_model, least_squares_exact, gram_matrix, least_squares_model, step_drop_features,
         coreset_rows, minmax_scale, transpose_columns, cluster_assign, cluster_centroids, open_gain, stream_medians,
     )
 }
@@ -196,6 +207,7 @@ SQL = {
     "glm_accuracy": f"WITH {_R} SELECT round(avg(CASE WHEN (1 / (1 + exp(-d)) > 0.5)::INT = y THEN 1.0::DOUBLE ELSE 0 END), 9) AS accuracy FROM s",
     "glm_predictions": f"WITH {_R} SELECT row_id, CASE WHEN 1 / (1 + exp(-d)) > 0.5 THEN 1.0::DOUBLE ELSE -1.0 END AS prediction FROM s",
     "least_squares_exact": f"WITH {_R} SELECT (a.k - 1)::INT AS i, (b.k - 1)::INT AS j, round(sum(x[a.k] * x[b.k]), 5) AS g FROM r, (SELECT unnest(range(1, 9)) AS k) a, (SELECT unnest(range(1, 9)) AS k) b GROUP BY ALL",
+    "gram_matrix": f"WITH {_R} SELECT (a.k - 1)::INT AS i, (b.k - 1)::INT AS j, round(sum(x[a.k] * x[b.k]), 5) AS g FROM r, (SELECT unnest(range(1, 65)) AS k) a, (SELECT unnest(range(1, 65)) AS k) b GROUP BY ALL",
     "minmax_scale": """SELECT p_partkey, round((p_size - (SELECT min(p_size) FROM part))::DOUBLE / (SELECT max(p_size) - min(p_size) FROM part), 9) AS size,
   round((p_retailprice - (SELECT min(p_retailprice) FROM part)) / (SELECT max(p_retailprice) - min(p_retailprice) FROM part), 9) AS price, 1.0::DOUBLE AS intercept FROM part""",
     "transpose_columns": f"WITH {_R} SELECT (u.j - 1)::INT AS col, count(*) AS n, round(sum(x[u.j]), 5) AS total FROM r, (SELECT unnest(range(1, 65)) AS j) u WHERE x[u.j] <> 0 GROUP BY ALL",
