@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators import heavy_keys, hierarchy
-from quarry.session import Scratch, load
+from quarry.session import load
 
 
 def distinct_edges(edges: DataFrame) -> DataFrame:
@@ -20,8 +20,8 @@ def distinct_edges(edges: DataFrame) -> DataFrame:
     return packed.groupBy("eid").agg(F.min("e").alias("e")).select("eid", F.shiftright("e", 32).alias("v0"), F.col("e").bitwiseAND(F.lit(0xFFFFFFFF)).alias("v1"))
 
 
-def p2_resolved(spark: SparkSession, d: str, with_path: bool = False) -> DataFrame:
-    return hierarchy.resolve_hierarchy(load(spark, d, "bfsdata"), "run_id", "vertex", "parent", "written_at", with_path=with_path)
+def p2_resolved(spark: SparkSession, d: str, detail: bool = False) -> DataFrame:
+    return hierarchy.resolve_hierarchy(load(spark, d, "bfsdata"), "run_id", "vertex", "parent", "written_at", detail=detail)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -29,17 +29,33 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return r.where(F.col("status") != hierarchy.DANGLING).select(F.col("g").alias("run_id"), F.col("v").alias("vertex"), F.col("root").alias("root_vertex"), "depth")
 
 
+def _named(path: str) -> Column:
+    return F.concat_ws("/", F.col(path).cast("array<string>")).alias(path)
+
+
 def p2_paths(spark: SparkSession, d: str) -> DataFrame:
-    """Path from the root, depth and root of every vertex that has a root; path as 'a/b/c'."""
-    r = p2_resolved(spark, d, with_path=True).where(F.col("status") == hierarchy.ROOTED)
-    return r.select(F.col("g").alias("run_id"), F.col("v").alias("vertex"), F.col("root").alias("root_vertex"), "depth", F.concat_ws("/", F.col("path").cast("array<string>")).alias("path"))
+    """Root, depth and path of every vertex that has a root, the path in pages: ``page`` is its end
+    'a/b/c' of at most 64 vertices, ``before`` the vertex whose own path precedes it (null if none)."""
+    r = p2_resolved(spark, d, True).where(F.col("status") == hierarchy.ROOTED)
+    return r.select(F.col("g").alias("run_id"), F.col("v").alias("vertex"), F.col("root").alias("root_vertex"), "depth", "before", _named("page"))
 
 
 def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
-    """Every (ancestor, descendant) of every run with their distance; size is the sum of all depths."""
-    r = p2_resolved(spark, d, with_path=True).where(F.col("status") == hierarchy.ROOTED)
-    pairs = r.select(F.col("g").alias("run_id"), F.col("v").alias("descendant"), "depth", F.posexplode("path").alias("at", "ancestor"))
-    return pairs.where(F.col("at") < F.col("depth")).select("run_id", "ancestor", "descendant", (F.col("depth") - F.col("at")).alias("distance"))
+    """All descendants of every vertex that has a root, as an interval: the vertices of its tree whose
+    ``pre`` lies in (pre, last]; their number is last - pre."""
+    r = p2_resolved(spark, d, True).where(F.col("status") == hierarchy.ROOTED)
+    return r.select(F.col("g").alias("run_id"), F.col("v").alias("vertex"), F.col("root").alias("root_vertex"), "pre", "last", (F.col("last") - F.col("pre")).alias("descendants"))
+
+
+def p2_full_paths(spark: SparkSession, d: str) -> DataFrame:
+    """The whole path of every vertex that has a root in one value; as large as all paths together."""
+    r = hierarchy.full_paths(p2_resolved(spark, d, True))
+    return r.select(F.col("g").alias("run_id"), F.col("v").alias("vertex"), F.col("root").alias("root_vertex"), "depth", _named("path"))
+
+
+def p2_descendant_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Every (ancestor, descendant) of every run with their distance; as many rows as depths sum to."""
+    return hierarchy.descendant_pairs(p2_resolved(spark, d, True)).withColumnRenamed("g", "run_id")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -61,12 +77,14 @@ _LATEST = """latest AS (
     FROM bfsdata WHERE run_id IS NOT NULL AND vertex IS NOT NULL) WHERE rn = 1)"""
 
 _ROOTED = """rooted AS (
-  SELECT run_id, vertex, vertex AS root_vertex, 0::BIGINT AS depth, vertex::VARCHAR AS path FROM latest WHERE parent = vertex AND parent >= 0
+  SELECT run_id, vertex, vertex AS root_vertex, 0::BIGINT AS depth, [vertex] AS path FROM latest WHERE parent = vertex AND parent >= 0
   UNION ALL
-  SELECT l.run_id, l.vertex, r.root_vertex, r.depth + 1, r.path || '/' || l.vertex::VARCHAR
+  SELECT l.run_id, l.vertex, r.root_vertex, r.depth + 1, list_append(r.path, l.vertex)
   FROM latest l JOIN rooted r ON l.run_id = r.run_id AND l.parent = r.vertex WHERE l.vertex <> l.parent)"""
 
-QUERIES = {"p2_found": p2_found, "p2_paths": p2_paths, "p2_descendants": p2_descendants, "p5_found": p5_found, "p5_weights": p5_weights}
+_PAIRS = "pairs AS (SELECT run_id, unnest(path) AS ancestor, vertex AS descendant, depth - unnest(range(0, depth + 1)) AS distance FROM rooted)"
+
+QUERIES = {"p2_found": p2_found, "p2_paths": p2_paths, "p2_descendants": p2_descendants, "p2_full_paths": p2_full_paths, "p2_descendant_pairs": p2_descendant_pairs, "p5_found": p5_found, "p5_weights": p5_weights}
 
 SQL = {
     "p2_found": f"""WITH RECURSIVE {_LATEST}, {_ROOTED},
@@ -87,10 +105,14 @@ walk AS (
 SELECT run_id, vertex, root_vertex, depth FROM rooted
 UNION ALL
 SELECT run_id, start AS vertex, list_min(seen) AS root_vertex, -1::BIGINT AS depth FROM walk WHERE closed""",
-    "p2_paths": f"WITH RECURSIVE {_LATEST}, {_ROOTED} SELECT run_id, vertex, root_vertex, depth, path FROM rooted",
-    "p2_descendants": f"""WITH RECURSIVE {_LATEST}, {_ROOTED}
-SELECT r.run_id, u.a::BIGINT AS ancestor, r.vertex AS descendant, (r.depth - u.at)::BIGINT AS distance
-FROM rooted r, LATERAL (SELECT unnest(string_split(r.path, '/')) AS a, unnest(range(0, r.depth + 1)) AS at) u WHERE u.at < r.depth""",
+    "p2_paths": f"""WITH RECURSIVE {_LATEST}, {_ROOTED}
+SELECT run_id, vertex, root_vertex, depth, CASE WHEN depth >= 64 THEN path[depth - depth % 64] END AS before, array_to_string(path[depth - depth % 64 + 1:], '/') AS page FROM rooted""",
+    "p2_descendants": f"""WITH RECURSIVE {_LATEST}, {_ROOTED}, {_PAIRS},
+n AS (SELECT run_id, ancestor AS vertex, count(*) - 1 AS descendants FROM pairs GROUP BY ALL),
+o AS (SELECT run_id, vertex, root_vertex, row_number() OVER (PARTITION BY run_id, root_vertex ORDER BY path) - 1 AS pre FROM rooted)
+SELECT run_id, vertex, root_vertex, pre, pre + descendants AS last, descendants FROM o JOIN n USING (run_id, vertex)""",
+    "p2_full_paths": f"WITH RECURSIVE {_LATEST}, {_ROOTED} SELECT run_id, vertex, root_vertex, depth, array_to_string(path, '/') AS path FROM rooted",
+    "p2_descendant_pairs": f"WITH RECURSIVE {_LATEST}, {_ROOTED}, {_PAIRS} SELECT run_id, ancestor, descendant, distance FROM pairs WHERE distance > 0",
     "p5_found": """WITH e AS (SELECT eid, min((v0::BIGINT << 32) + v1) AS e FROM packed_edge WHERE eid IS NOT NULL AND v0 >= 0 AND v1 >= 0 GROUP BY eid),
 c AS (SELECT (e >> 32)::INT AS v0, (e & 4294967295)::INT AS v1, count(*) AS n FROM e GROUP BY ALL),
 r AS (SELECT v0, v1, row_number() OVER (PARTITION BY v0 ORDER BY n DESC, v1) AS rn, sum(n) OVER (PARTITION BY v0) AS total FROM c)

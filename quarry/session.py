@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_SCRATCH: dict[str, str] = {}
+#: Folders of operator calls, by application.
+_ROOTS: dict[str, list[str]] = {}
 
 
 def build_session(app: str = "quarry", cpus: int | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -53,12 +55,16 @@ class Scratch:
 
     ``write`` stores a DataFrame as Parquet in the shared folder and reads it back: the lineage is
     cut, a lost executor costs nothing, and the planner sees real sizes. ``drop`` removes a table
-    that no later step reads (superseded rounds of a loop).
+    that no later step reads (superseded rounds of a loop). Tables that the returned, lazy result
+    still reads stay until ``clear_scratch`` or the end of the application.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.root = spark, f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self._n = 0
+        path, fs = _hadoop(spark, self.root)
+        fs.deleteOnExit(path)
+        _ROOTS.setdefault(spark.sparkContext.applicationId, []).append(self.root)
 
     def write(self, df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
         self._n += 1
@@ -74,9 +80,28 @@ class Scratch:
     def drop(self, df: DataFrame) -> None:
         path = getattr(df, "_quarry_path", None)
         if path:
-            jvm = self.spark._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(self.spark, path)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p, fs = _hadoop(spark, path)
+    fs.delete(p, True)
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Removes the tables of all operator calls of this application so far and returns their number.
+
+    For long sessions, once the results have been written; results not yet read are lost.
+    """
+    roots = _ROOTS.pop(spark.sparkContext.applicationId, [])
+    for r in roots:
+        _delete(spark, r)
+    return len(roots)
 
 
 def row_bytes_estimate(df: DataFrame) -> int:

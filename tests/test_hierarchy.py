@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -65,18 +67,98 @@ def test_empty_and_extra_columns(spark):
     df = spark.createDataFrame([], SCHEMA + ", g int, top string")
     assert H.resolve_hierarchy(df, "run", "v", "p", "t").count() == 0
     df = spark.createDataFrame([(1, 1, 1, 0, 5, "x")], SCHEMA + ", g int, top string")
-    assert H.resolve_hierarchy(df, "run", "v", "p", "t", with_path=True).first()["path"] == [1]
+    r = H.resolve_hierarchy(df, "run", "v", "p", "t", detail=True).first()
+    assert (r["page"], r["before"], r["pre"], r["last"]) == ([1], None, 0, 0)
+    empty = H.resolve_hierarchy(spark.createDataFrame([], SCHEMA), "run", "v", "p", "t", detail=True)
+    assert H.full_paths(empty).count() == H.descendant_pairs(empty).count() == 0
+
+
+def brute_detail(links):
+    """{(run, v): (pre, last, path)} of the vertices with a root."""
+    state = brute(links)
+    paths = {}
+    for (run, v), (_, _, status) in state.items():
+        if status == H.ROOTED:
+            walk = [v]
+            while links[run, walk[-1]] != walk[-1]:
+                walk.append(links[run, walk[-1]])
+            paths[run, v] = walk[::-1]
+    out = {}
+    for (run, v), path in paths.items():
+        tree = sorted(p for (r, _), p in paths.items() if r == run and p[0] == path[0])
+        out[run, v] = tree.index(path), tree.index(path) + sum(1 for p in tree if p[: len(path)] == path) - 1, path
+    return out
+
+
+def check_detail(spark, rows, **kw):
+    want = brute_detail({(a, b): c for a, b, c, _ in rows})
+    index = H.resolve_hierarchy(spark.createDataFrame(rows, SCHEMA), "run", "v", "p", "t", detail=True, **kw)
+    got = {(r["g"], r["v"]): r for r in index.collect() if r["status"] == H.ROOTED}
+    assert {k: (r["pre"], r["last"]) for k, r in got.items()} == {k: x[:2] for k, x in want.items()}
+    for k, (_, _, path) in want.items():
+        n = len(path) - 1 - (len(path) - 1) % H.PAGE
+        assert got[k]["page"] == path[n:] and got[k]["before"] == (path[n - 1] if n else None)
+    assert {(r["g"], r["v"]): r["path"] for r in H.full_paths(index).collect()} == {k: x[2] for k, x in want.items()}
+    pairs = {(r["g"], r["ancestor"], r["descendant"]): r["distance"] for r in H.descendant_pairs(index).collect()}
+    assert pairs == {(g, a, v): len(x[2]) - 1 - i for (g, v), x in want.items() for i, a in enumerate(x[2][:-1])}
 
 
 @pytest.mark.parametrize("block", [2, 500_000])
-def test_paths(spark, block):
-    rows = [(1, v, max(0, v - 1), 0) for v in range(12)] + [(1, 50, 3, 0)]
-    df = spark.createDataFrame(rows, SCHEMA)
-    got = {r["v"]: r["path"] for r in H.resolve_hierarchy(df, "run", "v", "p", "t", with_path=True, block_rows=block).collect()}
-    assert got[11] == list(range(12)) and got[50] == [0, 1, 2, 3, 50]
+def test_paths_and_intervals(spark, block):
+    rng = random.Random(9)
+    check_detail(spark, [(1, v, max(0, v - 1), 0) for v in range(12)] + [(1, 50, 3, 0)], block_rows=block)
+    check_detail(spark, [(run, v, v if v % 17 == 0 else rng.choice([v - 1, rng.randrange(v), 99]), 0) for run in range(2) for v in range(40)], block_rows=block)
+
+
+@pytest.mark.parametrize("block", [60, 500_000])
+def test_paths_longer_than_two_pages(spark, block):
+    check_detail(spark, [(1, v, max(0, v - 1), 0) for v in range(140)] + [(1, 500 + k, 63 + k, 0) for k in range(3)], block_rows=block)
+
+
+@pytest.mark.parametrize("size", [2, 3, 4, 8, 16])
+@pytest.mark.parametrize("parts", [1, 64])
+def test_cycles_of_one_size_alone(spark, size, parts):
+    # no other row in the task could stretch the search; a tail leads into the cycle
+    rows = [(1, v, (v + 1) % size, 0) for v in range(size)] + [(1, 100, 1, 0), (1, 101, 100, 0)]
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        assert solve(spark, rows) == brute({(a, b): c for a, b, c, _ in rows})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_local_cycles_of_a_power_of_two():
+    for size in (2, 4, 8):
+        v = np.arange(size)
+        t = pa.table({"g": [1] * size, "b": [0] * size, "v": v, "p": (v + 1) % size, "wide": [False] * size})
+        got = H._solve(t, True)
+        assert got.column("status").to_pylist() == [H.CYCLIC] * size and got.column("top").to_pylist() == [0] * size
+
+
+def test_chain_of_a_hundred_thousand(spark):
+    n = 100_000
+    df = spark.range(n).select(F.lit(1).alias("run"), F.col("id").alias("v"), F.greatest(F.col("id") - 1, F.lit(0)).alias("p"), F.lit(0).alias("t"))
+    r = H.resolve_hierarchy(df, "run", "v", "p", "t", detail=True)
+    got = r.agg(F.sum("depth"), F.sum("pre"), F.min("last"), F.sum(F.size("page"))).first()
+    assert tuple(got) == (n * (n - 1) // 2, n * (n - 1) // 2, n - 1, sum(v % H.PAGE + 1 for v in range(n)))
+
+
+def test_a_hub_over_many_blocks(spark):
+    rows = [(1, v, 0, 0) for v in range(60)] + [(1, 100 + v, v, 0) for v in range(60)]
+    assert solve(spark, rows, block_rows=10) == brute({(a, b): c for a, b, c, _ in rows})
+    check_detail(spark, rows, block_rows=10)
+
+
+def test_chunks_end_at_block_borders():
+    b = [pa.record_batch({"g": [1, 1, 2], "b": [0, 0, 0]}), pa.record_batch({"g": [2, 3], "b": [0, 0]}), pa.record_batch({"g": [3, 3, 4], "b": [0, 1, 0]})]
+    got = [t.column("g").to_pylist() for t in H._chunks(iter(b), 3)]
+    assert sum(got, []) == [1, 1, 2, 2, 3, 3, 3, 4] and len(got) == 3
+    keys = [set(zip(t.column("g").to_pylist(), t.column("b").to_pylist())) for t in H._chunks(iter(b), 3)]
+    assert sum(map(len, keys)) == len(set().union(*keys))
 
 
-@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.integers(0, 1), st.integers(0, 12), st.one_of(st.none(), st.integers(-1, 14))), max_size=30), st.sampled_from([2, 500_000]))
 def test_property(spark, rows, block):
     links = {(a, b): c for a, b, c in rows}
