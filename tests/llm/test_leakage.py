@@ -1,4 +1,6 @@
+import random
 import re
+import unicodedata
 
 import pytest
 
@@ -25,6 +27,16 @@ CASES = {
     "wide": "".join(chr(ord(c) + 0xFEE0) if "!" <= c <= "~" else c for c in PART),
     "commas": PART.replace(" ", ", "),
     "hyphen": PART.replace("facility", "faci-\nlity"),
+    "long tag": PART.replace("Linta", '<a href="https://example.org/' + "x" * 1000 + '">Linta</a>'),
+    "odd tag": PART.replace("Linta", "<a href=https://example.org/?a=b&c='" + "y" * 1000 + ">Linta</a>"),
+    "long comment": PART.replace("was", "was <!-- " + "left out > here " * 100 + " -->"),
+    "less than": "if a <b then " + PART + " and c> d",
+    "escaped tags": PART.replace("Linta", "&lt;b&gt;Linta&lt;/b&gt;"),
+    "escaped twice": PART.replace(" ", "&amp;nbsp;"),
+    "link": PART.replace("Linta", "[Linta](https://example.org/a_(b)?q=1)"),
+    "footnote": PART.replace("halved", "halved[12]"),
+    "numbered": "\n".join(f"{k}: {w}" for k, w in enumerate(PART.split(), 118)),
+    "joiner": PART.replace("Kerquiulm", "Ker\u200dqu\ufe0fiulm"),
     "long": "filler words here. " * 20000 + PART + " more." * 10,
 }
 
@@ -36,6 +48,8 @@ def test_forms(name):
     assert [(i, f) for i, f, *_ in got] == [(1, 0)] and got[0][2] == 12
     _, _, _, a, b = got[0]
     found = L.squash(text[a:b])
+    if name in ("link", "footnote", "numbered"):
+        found = L.squash(text[a:b], True, True)
     assert found in L.squash(PROMPT) and len(found) >= len(L.squash(PART)) - 2
 
 
@@ -55,6 +69,35 @@ def test_not_leaks(text):
     assert screen().search(text) == []
 
 
+FRENCH = "L'élève dépêché près du café reçut à Noël un très bel arrêté signé par le maître d'hôtel"
+
+
+@pytest.mark.parametrize("form", ["NFC", "NFD", "NFKC", "NFKD"])
+@pytest.mark.parametrize("item_form", ["NFC", "NFD"])
+def test_decomposed_letters(form, item_form):
+    s = L.Screen([(1, [unicodedata.normalize(item_form, FRENCH)])], 12)
+    text = "Avant. " + unicodedata.normalize(form, FRENCH) + " Après."
+    (_, _, n, a, b), = s.search(text)
+    assert unicodedata.normalize("NFC", text[a:b]) == FRENCH and n == len(L.words(FRENCH))
+    assert L.squash(text) == L.Origin(text).letters
+
+
+def test_hangul_and_marks_without_composed_form():
+    for item in ("각 나라의 사람들이 모여서 함께 노래를 부르고 춤을 추며 밤을 새웠다 그리고 헤어졌다", " ".join(f"q\u0303x\u0301{k} w\u0308y" for k in range(8))):
+        s = L.Screen([(1, [item])], 12)
+        for form in ("NFC", "NFD"):
+            assert len(s.search(unicodedata.normalize(form, item))) == 1
+
+
+def test_folding_is_one_function():
+    rng = random.Random(5)
+    marks = ["é", "e\u0301", "ﬁ", "Ａ", "ǰ", "İ", "ß", "&eacute;", "<b>", "</b>", "<p class='x y'>", " ", "-", "a", "Z", "9", "ᄀ", "ᅡ", "ᆨ", "\u00ad", "&lt;", "&gt;", "<!-- a -->", "[1]", "\n12: "]
+    for _ in range(400):
+        text = "".join(rng.choice(marks) for _ in range(12))
+        for loose, light in ((True, False), (True, True), (False, False)):
+            assert L.squash(text, loose, light) == L.Origin(text, loose, light).letters, text
+
+
 def test_whole_items_and_both_fields():
     got = {(f, n) for _, f, n, *_ in screen().search(f"{PROMPT} Solution. {ANSWER}")}
     assert got == {(0, len(re.findall(r"\w+", PROMPT))), (1, len(re.findall(r"\w+", ANSWER)))}
@@ -68,16 +111,13 @@ def test_frame(spark):
     assert L.leaked_passages(docs, items.limit(0), "doc_id", "text", "item_id", ["prompt", "answer"]).count() == 0
 
 
-def test_several_passes(spark, monkeypatch):
-    monkeypatch.setattr(L, "ITEMS_PER_PASS", 1)
+def test_several_passes(spark):
     docs = spark.createDataFrame([(1, PROMPT + ANSWER)], "doc_id long, text string")
     items = spark.createDataFrame([(7, PROMPT), (8, ANSWER), (9, ANSWER)], "item_id long, prompt string")
-    assert {r["item_id"] for r in L.leaked_passages(docs, items, "doc_id", "text", "item_id", ["prompt"]).collect()} == {7, 8, 9}
+    assert {r["item_id"] for r in L.leaked_passages(docs, items, "doc_id", "text", "item_id", ["prompt"], pass_letters=100).collect()} == {7, 8, 9}
 
 
 def test_brute_force_agrees():
-    import random
-
     rng = random.Random(3)
     vocab = [f"w{i}" for i in range(9)]
     item = [rng.choice(vocab) for _ in range(40)]
