@@ -3,8 +3,8 @@
 A text is read line by line outside of code. Three grammars look for residue:
 
 * placeholders, one pattern per delimiter style, in running text; discounted in code blocks, inline
-  code, quotations and sentences that talk about templates, and where placeholders are so dense next
-  to such talk that the text is a tutorial;
+  code, quotations and sentences that talk about templates, and in a tutorial: a text with several
+  placeholders in which a good share of all sentences (``TUTORIAL_SHARE``) is such talk;
 * filler (dummy words, repeated tokens, keyboard mash, stock phrases) and stub notices that make up a
   whole sentence or line, be it in one section only;
 * error pages and script or robot notices, if nothing but the site's menus, links and thread lists
@@ -51,14 +51,24 @@ PLACEHOLDERS = [
         rf"(?i:[(\[<]\s*{_NAME} to be filled in\s*[)\]>])",
     )
 ]
+#: What a slot in plain square brackets is for; only such names tell it from notes and references.
+_SLOT = r"(?i:names?|company|organi[sz]ation|employer|recipient|sender|client|customer|patient|manager|addressee|date|address|e-?mail|phone|number|title|position|department|signature|city|country|street|amount|product|project|author|university|school|venue|location|website|invoice)"
+PLACEHOLDERS += [
+    re.compile(rf"\[\s*(?:[A-Z][\w'’.]*[ /])+{_SLOT}\s*\](?![(:\[])"),  # [Recipient Name]
+    re.compile(rf"(?<=[A-Za-z,:] )\[\s*(?=[A-Z]){_SLOT}\s*\](?![(:\[])"),  # Welcome to [Company]
+    re.compile(r"(?i:^[ \t>]*(?:dear|hello|hi|to|from|date|name|signed|subject|attn|sincerely|regards|title|company|phone|address)\b[^.!?_\n]*?(?<=[\s:]))_{4,}", re.M),  # Dear ______,
+]
 _ANY_PLACEHOLDER = re.compile("|".join(f"(?:{p.pattern})" for p in PLACEHOLDERS))
 #: Every placeholder contains one of these; plain substring tests, as most texts have none.
-_MARKS = ("{", "<%", "$", "%(", "%", "@", "__", "[[", "<<", "«", "~", "XX_", "xx_", "Xx_")
+_MARKS = ("____", "{", "<%", "$", "%(", "%", "@", "__", "[[", "<<", "«", "~", "XX_", "xx_", "Xx_")
 _MARK_WORDS = ("[insert", "[your", "[enter", "[add", "[put", "[fill", "[type", "[ ", " here]", " here ]", "<insert", "<your", "<enter", "< insert", "< your", "to be filled", "to be added", "to be supplied", "to be inserted", "to be completed", " goes here)", " goes here]", " goes here>")
 
 
+_SLOT_MARK = re.compile(rf"\[[^\[\]\n]*{_SLOT}\s*\]")
+
+
 def _may_hold_placeholder(text: str, low: str) -> bool:
-    return any(m in text for m in _MARKS) or any(m in low for m in _MARK_WORDS)
+    return any(m in text for m in _MARKS) or any(m in low for m in _MARK_WORDS) or ("[" in text and _SLOT_MARK.search(text) is not None)
 
 
 #: Shell variables that running text names as they are.
@@ -68,8 +78,13 @@ _ABOUT = re.compile(r"\b(?:templates?|templating|placeholders?|mail ?merge|job f
 
 _FENCE = re.compile(r"^\s{0,3}(?:>\s?)*(```|~~~)")
 _INLINE_CODE = re.compile(r"``[^`\n]+``|`[^`\n]+`|<code>.*?</code>|<pre>.*?</pre>", re.I | re.S)
-_QUOTED = re.compile(r"\"[^\"\n]{1,200}\"|“[^”\n]{1,200}”|„[^“”\n]{1,200}[“”]")
-_CODE_LINE = re.compile(r"^(?: {4,}|\t)\S")
+_QUOTED = re.compile(r"\"[^\"\n]+\"|“[^”\n]+”|„[^“”\n]+[“”]")
+_INDENTED = re.compile(r"^(?: {4,}|\t)\S")
+#: Indented lines that are no code by themselves: markup, or words without the signs of code.
+_MARKUP_LINE = re.compile(r"^\s*<[/!?a-z]", re.I)
+_CODE_SIGNS = re.compile(r"[;={}()\\|&$`]|::|->|>>|//|--\w|\w\.\w+\(|^\s*(?:#|\w+:$|-\w)|/\w+/")
+#: Share of a text's sentences that must talk about templates for it to count as a tutorial.
+TUTORIAL_SHARE = 0.15
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"')\]]*\s+")
 
 #: The vocabulary of Latin dummy text, whole and cut short.
@@ -94,6 +109,21 @@ _FILLER = re.compile(
     r"|texto (?:de relleno|provisional|de ejemplo|de prueba|simulado|ficticio)|este es un texto de (?:relleno|ejemplo|prueba))" + _END,
     re.I,
 )
+#: Further languages: stub notices and filler as data, one list each.
+MORE_STUBS = {
+    "it": ["(?:questa )?(?:pagina|sezione) (?:è )?in (?:costruzione|allestimento|preparazione)", "in costruzione", "(?:contenuto|testo) (?:in arrivo|da completare)", "prossimamente"],
+    "pt": ["(?:esta )?(?:página|secção|seção) (?:está )?em (?:construção|obras|preparação)", "em construção", "(?:conteúdo|texto) em breve", "em breve"],
+    "nl": ["(?:deze )?(?:pagina|sectie) is (?:nog )?in (?:aanbouw|voorbereiding|opbouw)", "in aanbouw", "(?:inhoud|tekst) volgt(?: binnenkort| later)?", "binnenkort beschikbaar"],
+    "pl": ["(?:ta )?strona (?:jest )?w (?:budowie|przygotowaniu)", "w budowie", "wkrótce"],
+    "sv": ["(?:denna |den här )?sida(?:n)? är under (?:uppbyggnad|konstruktion)", "under uppbyggnad", "kommer snart"],
+}
+MORE_FILLER = {
+    "it": ["testo (?:segnaposto|di prova|di esempio|fittizio)", "questo è un testo di (?:prova|esempio)"],
+    "pt": ["texto (?:de exemplo|provisório|fictício)", "este é um texto de (?:exemplo|teste)"],
+    "nl": ["(?:dit is )?(?:een )?(?:voorbeeldtekst|opvultekst|dummytekst|proeftekst)"],
+    "pl": ["(?:to jest )?(?:przykładowy|zastępczy) tekst"],
+    "sv": ["(?:detta är )?(?:en )?(?:exempeltext|platshållartext)"],
+}
 _STUB = re.compile(
     r"^(?:(?:this|the) )?(?:coming (?:very )?soon|(?:page|section|site|chapter|content|text|document|more|details|description|article) (?:is |are )?(?:coming soon|coming shortly|under construction|being (?:written|prepared|reworked)|to follow|to come)"
     r"|under construction|work in progress|(?:more |the )?(?:content|text|details|information|description) (?:will be|is to be|are to be|to be) (?:added|written|provided|supplied|completed|inserted)(?: here)?(?: shortly| soon| later)?"
@@ -107,13 +137,14 @@ _STUB = re.compile(
     re.I,
 )
 
+_MORE = [("filler", re.compile("^(?:" + "|".join(p for x in MORE_FILLER.values() for p in x) + ")" + _END, re.I)), ("stub", re.compile("^(?:" + "|".join(p for x in MORE_STUBS.values() for p in x) + ")" + _END, re.I))]
 _STATUS = r"(?:bad request|unauthorized|payment required|forbidden|(?:page |file |document )?not found|method not allowed|not acceptable|request time-?out|conflict|gone|payload too large|too many requests|internal server error|server error|not implemented|bad gateway|service (?:temporarily )?unavailable|gateway time-?out|access denied|error)"
 _SCRIPTS = r"(?:(?:client[- ]side |java ?)?scripts?|java ?script|js|scripting|cookies(?: and (?:java ?script|js|scripts))?|(?:java ?script|js) and cookies)"
 _NOTICE = re.compile(
     "|".join(
         (
             rf"^(?:http(?:/\d\.\d)?|error|fehler|erreur|status|code)?[ :#]*[45]\d\d\b[ :,.\-–—|]*{_STATUS}?{_END}",
-            rf"^(?:http )?{_STATUS} ?(?:\(? ?(?:error |http |code )*[45]\d\d ?\)?)?(?: webd/[\d.]+| nginx(?:/[\d.]+)?| apache(?:/[\d.]+)?)?{_END}",
+            rf"^(?:http )?{_STATUS} ?(?:\(? ?(?:error |http |code )*[45]\d\d ?\)?)?(?: [a-z][\w\-]*/[\d.]+| nginx| apache)?{_END}",
             rf"^(?:http(?:/\d\.\d)?|error|fehler|erreur)?[ :#]*[45]\d\d\b.{{0,3}}{_STATUS}\b.{{0,24}}$",
             r"^(?:oops|whoops|uh[- ]oh|sorry)\b.{0,20}$|^something (?:went|has gone) wrong\b|^an? (?:unexpected |unhandled |internal )?(?:error|exception) (?:has )?occurred",
             r"\b(?:page|document|address|url|thread|file|resource|site|link|board)\b.{0,40}\b(?:(?:could|can)(?: ?not|'t) be (?:found|located|displayed|reached)|was not found|not found|does(?: not|n't) exist|(?:was|has been|were) (?:moved|deleted|removed|archived)|is no longer (?:served|available)|no longer exists|is unreachable|is down for maintenance|is (?:currently |temporarily )?(?:unavailable|offline|down)\b)",
@@ -135,13 +166,13 @@ _AFTER_NOTICE = re.compile(
     re.I,
 )
 _CHROME = re.compile(
-    r"^(?:menu|boards?|runs?|help|home|docs?|lists?|search|terms|privacy|contact|about|imprint|impressum|faq|login|log in|log out|sign in|sign up|register|subscribe|skip to (?:main )?content|(?:back|return) to (?:the )?(?:start page|top|home(?: page)?|index)|recent (?:threads|posts|topics)|other (?:boards|threads|topics)|you may also like|related(?: threads| topics| posts)?|(?:next|previous)(?: page| thread)?|sitemap|share|print|archive|feed|rss|newsletter|categories|tags)$",
+    r"^(?:menu|help|home|docs?|lists?|search|terms|privacy|contact|about|imprint|impressum|faq|login|log in|log out|sign in|sign up|register|subscribe|skip to (?:main )?content|(?:back|return) to (?:the )?(?:start page|top|home(?: page)?|index)|recent (?:threads|posts|topics)|other (?:boards|threads|topics)|you may also like|related(?: threads| topics| posts)?|(?:next|previous)(?: page| thread)?|sitemap|share|print|archive|feed|rss|newsletter|categories|tags)$",
     re.I,
 )
 _LIST_HEAD = re.compile(r"^(?:recent|other|related|similar|popular|latest|more|you may also like)\b[\w ]{0,30}:?$", re.I)
 _BULLET = re.compile(r"^\s*(?:[*\-•·+]|\d+[.)])\s+")
 _WORD = re.compile(r"[^\W\d_]+")
-_TAG = re.compile(r"<[^<>]{1,200}>")
+_TAG = re.compile(r"<[^<>]+>")
 _STRUCTURE = re.compile(r"</?(?:html|head|body|title|noscript|h[1-6]|p|hr|br|center|div|span|meta|link|style|script)\b[^<>]*>", re.I)
 
 
@@ -161,20 +192,48 @@ def visible_lines(text: str) -> list[tuple[str, bool]]:
             fence = None if fence == m[1] else fence or m[1]
             out.append((line, True))
         else:
-            out.append((line, bool(fence or _CODE_LINE.match(line))))
+            out.append((line, bool(fence)))
     if fence:  # an unclosed fence encloses nothing
-        out = [(x, bool(_CODE_LINE.match(x))) for x in lines]
+        out = [(x, False) for x in lines]
+    if "\t" in text or "    " in text:
+        out = _mark_indented(out)
     if "`" in text or "<code" in text or "<pre" in text:
         out = [(x if c else _INLINE_CODE.sub(lambda m: " " * len(m[0]), x), c) for x, c in out]
     return out
 
 
+def _mark_indented(lines: list[tuple[str, bool]]) -> list[tuple[str, bool]]:
+    """An indented block is code if any of its lines looks like code or a colon leads up to it."""
+    out: list[tuple[str, bool]] = []
+    block: list[str] = []
+    before = ""
+
+    def close() -> None:
+        bare = [_ANY_PLACEHOLDER.sub(" ", x) for x in block]
+        code = before.rstrip().endswith(":") or any(_CODE_SIGNS.search(x) for x in bare if not _MARKUP_LINE.match(x))
+        out.extend((x, code and not _MARKUP_LINE.match(x)) for x in block)
+        block.clear()
+
+    for line, code in lines:
+        if not code and _INDENTED.match(line):
+            block.append(line)
+            continue
+        if block:
+            close()
+        out.append((line, code))
+        if line.strip():
+            before = line
+    if block:
+        close()
+    return out
+
+
 _LINE_STARTS = frozenset(" \t`~>")
 
 
 def find_placeholder(lines: list[tuple[str, bool]]) -> str | None:
     """The first placeholder that stands unfilled in running text."""
-    about_before = False
+    about_before, tutorial = False, None
     for line, code in lines:
         if code or not line.strip():
             continue
@@ -188,11 +247,25 @@ def find_placeholder(lines: list[tuple[str, bool]]) -> str | None:
                     continue
                 if about_before:  # an example that a sentence about templates leads up to
                     continue
-                return m[0]
+                if tutorial is None:
+                    tutorial = _is_tutorial(lines)
+                if tutorial:
+                    return None
+                return m[0].strip()
         about_before = line.endswith((":", ": ")) and bool(_ABOUT.search(line))
     return None
 
 
+def _is_tutorial(lines: list[tuple[str, bool]]) -> bool:
+    """Several placeholders, code included, and talk about templates in a good share of the sentences."""
+    held = sum(len(_ANY_PLACEHOLDER.findall(x)) for x, _ in lines)
+    if held < 2:
+        return False
+    parts = [p for x, code in lines if not code and x.strip() for p in _SENTENCE.split(_ANY_PLACEHOLDER.sub(" ", x)) if p.strip()]
+    about = sum(1 for p in parts if _ABOUT.search(p))
+    return about >= 2 and about >= TUTORIAL_SHARE * len(parts)
+
+
 def _repeats(words: list[str]) -> bool:
     """One or two tokens over and over."""
     if len(words) < 4:
@@ -203,6 +276,8 @@ def _repeats(words: list[str]) -> bool:
     return kinds <= _DUMMY or (len(words) >= 8 and all(len(k) <= 12 for k in kinds))
 
 
+#: Letters that no word of a living language puts side by side, or a word without a vowel.
+_HARD = re.compile(r"q(?!u)|j[^aeiouy\W]|[^aeiouy\W\d_]{4}|(?<!\w)[^aeiouy\W\d_]{3,}(?!\w)|[dfgjkqw]l?[jkqw][a-z]|([a-z])\1\1", re.I)
 _INNER = re.compile(r"[a-z];[a-z]|^;[a-z]|[a-z];$", re.I)
 
 
@@ -214,7 +289,8 @@ def _mash(s: str) -> bool:
     odd = sum(1 for t in tokens if _INNER.search(t[:-1] if t.endswith(".") else t)) if ";" in s else 0
     letters = {c for c in s.lower() if c.isalpha()}
     row = sum(1 for c in s.lower() if c in "asdfghjkl;qwertyuiop")
-    return (odd >= 0.12 * len(tokens) and len(letters) <= 14) or (row >= 0.97 * sum(1 for c in s if not c.isspace()) and len(letters) <= 11 and len(set(tokens)) > 0.6 * len(tokens))
+    hard = sum(1 for t in tokens if _HARD.search(t)) if not odd else len(tokens)
+    return hard >= 0.4 * len(tokens) and ((odd >= 0.12 * len(tokens) and len(letters) <= 14) or (row >= 0.97 * sum(1 for c in s if not c.isspace()) and len(letters) <= 11 and len(set(tokens)) > 0.6 * len(tokens)))
 
 
 #: Words that open a stock phrase or stub notice; of the common ones the next word must fit as well.
@@ -222,15 +298,17 @@ _FIRST_WORDS = frozenset(
     """this here a some just dummy sample placeholder filler example test testing temporary your the own text heading headline title content caption body paragraph description image picture subtitle
     quote enter insert type add put please replace 1 hier blindtext platzhaltertext beispieltext dies texte faux ceci texto este coming page section site chapter document more details article under work
     information follows nothing no intentionally to tbd tba tbw todo still diese die seite rubrik abschnitt im inhalt dieser noch in cette la rubrique en contenu bientôt rien esta página sección pagina
-    próximamente proximamente contenido todavía""".split()
+    próximamente proximamente contenido todavía questa pagina sezione testo questo prossimamente secção seção conteúdo este em deze sectie inhoud tekst binnenkort dit een voorbeeldtekst opvultekst
+    dummytekst proeftekst ta strona w wkrótce przykładowy zastępczy denna den sida sidan kommer detta exempeltext platshållartext costruzione""".split()
 )
 
 
-_COMMON = frozenset("this the a some just here to no in la die 1 en your more diese cette esta still".split())
+_COMMON = frozenset("this the a some just here to no in la die 1 en your more diese cette esta still this em este questo questa deze dit een ta w den denna detta".split())
 _SECOND = frozenset(
     """is a some just dummy sample placeholder filler example test temporary text copy content paragraph sentence own heading headline title caption body description image picture subtitle quote 2
     steht page section site chapter document more details article information be follow come been yet left under seite rubrik abschnitt arbeit vorbereitung rubrique página sección construction
-    construcción coming intentionally blank im aufbau tbd to""".split()
+    construcción coming intentionally blank im aufbau tbd to pagina sezione página secção seção costruzione allestimento aanbouw sectie strona budowie här sida sidan är un um em construção obras breve voorbeeldtekst
+    opvultekst dummytekst proeftekst en jest przykładowy exempeltext nog è está""".split()
 )
 _OPENING = re.compile(r"(?:^|[.!?…\n][\"')\]]*)[^\w\n]*(\w+)(?:[ '’-]+(\w+))?")
 
@@ -241,14 +319,14 @@ def _opens_stock(low: str) -> bool:
 
 def _stock(part: str) -> tuple[str, str] | None:
     """A sentence or line that is a stock phrase of filler or a stub notice."""
-    if len(part) > 120:
-        return None
     first = part.split(None, 1)[0].lower().strip("([\"'*_-.:!…") if part.strip() else ""
     if first.partition("-")[0] not in _FIRST_WORDS and first not in _FIRST_WORDS:
         return None
     if _FILLER.match(part):
         return "filler", part
-    return ("stub", part) if _STUB.match(part) else None
+    if _STUB.match(part):
+        return "stub", part
+    return next(((kind, part) for kind, p in _MORE if p.match(part)), None)
 
 
 def _latin(words: list[str]) -> bool:
@@ -274,8 +352,8 @@ def find_filler(lines: list[tuple[str, bool]], low: str) -> tuple[str, str] | No
         s = _BULLET.sub("", s).strip("*_#> \t") or s
         if few:
             words = [w.lower() for w in _WORD.findall(s)]
-            if words and len(words) <= 3 and set(words) <= _DUMMY:
-                run += words
+            if words and len(words) <= 3 and (set(words) <= _DUMMY or len(set(words)) == 1):
+                run = run + words if len({*run, *words}) <= 2 else words
                 if _repeats(run):
                     return "filler", s
             else:
@@ -325,15 +403,16 @@ def is_notice_page(text: str, lines: list[tuple[str, bool]]) -> str | None:
         flat = [(x, False) for x in "\n".join([m[1], *values, m[3]]).split("\n")]
     # Most texts fall with their longest line: one long sentence that is no notice decides.
     longest = max((x for x, _ in flat), key=len)
-    if len(longest) > 60 and "<" not in longest and _odd(max(_SENTENCE.split(longest.strip()), key=len)) > 4 and not _furniture(longest.strip(), True):
+    if len(longest) > 60 and "<" not in longest and _odd(max(_SENTENCE.split(longest.strip()), key=len)) > ODD_WORDS and not _furniture(longest.strip(), True):
         return None
     if any(code for _, code in flat):
         return None
+    menu = _menu_lines([x.strip() for x, _ in flat])
     parts: list[str] = []
     in_list = False
-    for line, _ in flat:
+    for k, (line, _) in enumerate(flat):
         s = line.strip()
-        if not s:
+        if not s or k in menu:
             continue
         pieces = [s]
         if "<" in s and _STRUCTURE.search(s):
@@ -354,7 +433,7 @@ def is_notice_page(text: str, lines: list[tuple[str, bool]]) -> str | None:
         n = _odd(part)
         if n:
             odd += n
-            if odd > 4:
+            if n > ODD_WORDS:
                 return None
         else:
             seen += len(_WORD.findall(part)) or 1
@@ -364,17 +443,49 @@ def is_notice_page(text: str, lines: list[tuple[str, bool]]) -> str | None:
 
 
 _SPLIT_TAGS = re.compile(r"</?(?:html|head|body|title|noscript|h[1-6]|p|hr|br|center|div|li|ul)\b[^<>]*>", re.I)
-_SERVER = re.compile(r"(?:webd|nginx|apache)(?:/[\d.]+)?.{0,20}", re.I)
+_SERVER = re.compile(r"[a-z][\w\-]*/\d[\w.]*(?: \([^()]*\))?(?: (?:server )?at \S+(?: port \d+)?)?|nginx|apache", re.I)
 _RAY = re.compile(r"\s*\((?:ray|ref|id|request)[ :]*[\w\-]+\)$", re.I)
 
 
 def _odd(part: str) -> int:
     """Words of a sentence that is neither a notice nor what usually follows one, else 0."""
-    if len(part) <= 120 and (_NOTICE.search(part) or _AFTER_NOTICE.match(part)):
+    if _AFTER_NOTICE.match(part):
         return 0
+    m = _NOTICE.search(part)
+    if m:
+        # Of a long sentence, words of the web must make up much of what the notice does not match.
+        rest = [w for w in _WORD.findall((part[: m.start()] + " " + part[m.end() :]).lower()) if len(w) > 3]
+        if len(rest) <= 12 or sum(w in _WEB for w in rest) >= 0.3 * len(rest):
+            return 0
     return len(_WORD.findall(part)) or 1
 
 
+#: Words of a page's own sentence, beyond which a sentence that is no notice makes it content.
+ODD_WORDS = 4
+#: Words that notices of sites are made of.
+_WEB = frozenset(
+    """access account address administrator again allow allowed available blocked browser cache click contact contents content continue cookies device disabled display displayed document down enable
+    enabled error features file found function functionality hosting internet javascript later link load loaded login maintenance message moved network notice online page pages password permission please
+    problem provider refresh reload request requested required requires script scripting scripts security server service session settings site support supported temporarily traffic turn unavailable
+    update upgrade user verify version view viewing visit visitor website webmaster wrong without your you""".split()
+)
+
+
+def _menu_lines(lines: list[str]) -> set[int]:
+    """Places of lines in runs of three or more that are short, of few words and without a stop."""
+    out, run = set(), []
+    for k, s in enumerate([*lines, "."]):
+        if not s and run:
+            continue
+        if s and len(s.split()) <= 3 and not re.search(r"[.!?:;,<>{}\d]", s) and not _NOTICE.search(s):
+            run.append(k)
+            continue
+        if len(run) >= 3:
+            out.update(run)
+        run = []
+    return out
+
+
 def _furniture(s: str, in_list: bool) -> bool:
     """A menu entry, link bar, copyright line or entry of a thread list."""
     if _CHROME.match(s.strip(" .:»›>|")):
@@ -382,7 +493,7 @@ def _furniture(s: str, in_list: bool) -> bool:
     if re.match(r"^(?:©|\(c\)|copyright).{0,60}$", s, re.I):
         return True
     parts = [p for p in re.split(r"\s*[|·•»/]\s*|\s{2,}", s) if p]
-    if len(parts) > 1 and all(_CHROME.match(p.strip()) for p in parts):
+    if len(parts) > 1 and (all(_CHROME.match(p.strip()) for p in parts) or len(parts) > 2 and all(len(p.split()) <= 3 and not re.search(r"[.!?:;,\d]", p) for p in parts)):
         return True
     if _BULLET.match(s):
         body = _BULLET.sub("", s)
