@@ -1,10 +1,14 @@
 """Similarity clusters by density peaks.
 
 One blocked neighbour join (see ``vectors``) gives every point its local density (how many points
-lie within ``radius``), its nearest neighbours, and the links inside its block as a spanning
-forest, never as all pairs. A point follows its nearest denser neighbour; points without one are
-peaks; following pointers labels the rest. Peaks whose basins touch (a link within ``radius``
-crosses the border) are one cluster, so that a cluster is closed under links.
+lie within ``radius``), denser neighbours to follow, and the links inside its block as a spanning
+forest, never as all pairs. A block does not know densities over all blocks yet; it ranks its rows
+by the share of the block that lies within the radius, and offers a point the nearest neighbour of
+higher rank and the highest-ranked one. Of what its blocks offer, a point follows the nearest that
+is denser indeed (of equals: with a smaller id); points without one are peaks, and pointers lead
+down to them. Peaks whose basins touch (a link within ``radius`` crosses the border) are one
+cluster, so that a cluster is closed under links; ``peak`` divides it into the basins it consists
+of, and ``density`` orders its members.
 """
 
 from __future__ import annotations
@@ -18,23 +22,26 @@ from quarry.graph.components import connected_components
 from quarry.llm import vectors as V
 from quarry.session import Scratch
 
-#: kind 0: neighbour (id, other, d2); kind 1: part of a density (id, count); kind 2: link (id, other)
+#: kind 0: neighbour of higher rank (id, other, d2); kind 1: part of a density (id, count); kind 2: link (id, other)
 _SCHEMA = pa.schema([("kind", pa.int8()), ("id", pa.int64()), ("other", pa.int64()), ("x", pa.float64())])
 _DDL = "kind byte, id long, other long, x double"
 
 
-def _forest(n: int, links) -> np.ndarray:
+def _forest(n: int, linked: np.ndarray, links) -> np.ndarray:
     """Smallest member index of each index's component; ``links(rows)`` gives their linked columns."""
-    label = np.full(n, -1)
-    for start in range(n):
-        if label[start] >= 0:
+    label = np.arange(n)
+    free = np.zeros(n, bool)
+    free[linked] = True
+    for start in linked.tolist():
+        if not free[start]:
             continue
-        label[start] = start
+        free[start] = False
         front = np.array([start])
         while len(front):
             new = links(front)
-            new = new[label[new] < 0]
+            new = new[free[new]]
             label[new] = start
+            free[new] = False
             front = new
     return label
 
@@ -45,15 +52,15 @@ def _weigh(near: np.ndarray, copies: np.ndarray) -> np.ndarray:
     return near.sum(1) + (near[:, many].astype(np.float64) @ (copies[many] - 1.0)).astype(np.int64)
 
 
-def _survey(block: V.Block, k: int, r2: float):
-    for out in V.block_neighbours(block, k, r2):
-        yield {"kind": np.zeros(len(out["id"]), np.int8), "id": out["id"], "other": out["other"], "x": out["d2"]}
+def _survey(block: V.Block, r2: float):
     n = len(block.ids)
     stored, query = block.stored, block.query
     # Links between stored and querying rows, packed to bits row by row.
     bits = np.zeros((len(stored), (len(query) + 7) // 8), np.uint8)
     # Neighbours that no earlier table has counted, each with its copies.
     count, probed = np.zeros(len(stored), np.int64), np.zeros(len(query), np.int64)
+    # Ranks: the share of the other side within the radius.
+    rank_s, rank_q = np.zeros(len(stored)), np.zeros(len(query))
     is_probe = np.isin(query, block.probe, assume_unique=True)
     step = max(1, (8 << 20) // max(1, len(query)))
     for s in range(0, len(stored), step):
@@ -63,6 +70,8 @@ def _survey(block: V.Block, k: int, r2: float):
         if len(i):
             near[i, j] = block.exact(stored[s + i], query[j]) <= r2
         bits[s : s + step] = np.packbits(near, axis=1)
+        rank_s[s : s + step] = near @ block.copies[query].astype(np.float32)
+        rank_q += block.copies[stored[s : s + step]].astype(np.float32) @ near
         a, b = block.met[stored[s : s + step]], block.met[query]
         for t in range(a.shape[1] - 1):
             near &= ~((a[:, None, t, 0] == b[None, :, t, 0]) | (a[:, None, t, 0] == b[None, :, t, 1]) | (a[:, None, t, 1] == b[None, :, t, 0]))
@@ -71,6 +80,9 @@ def _survey(block: V.Block, k: int, r2: float):
         if is_probe.any():
             back = near[:, is_probe] & (a[:, None, -1, 1] != b[None, is_probe, -1, 0])
             probed[is_probe] += _weigh(back.T, block.copies[stored[s : s + step]])
+    if not bits.any():
+        return
+    yield from _offers(block, bits, rank_s + block.copies[stored] / (1.0 + len(query)), rank_q + block.copies[query] / (1.0 + len(query)), step)
     for rows, x in ((stored, count), (query, probed)):
         some = x > 0
         yield {"kind": np.ones(some.sum(), np.int8), "id": block.ids[rows[some]], "other": np.zeros(some.sum(), np.int64), "x": x[some].astype(np.float64)}
@@ -100,13 +112,43 @@ def _survey(block: V.Block, k: int, r2: float):
             out.append(s_at[hit])
         return np.unique(np.concatenate(out)) if out else np.zeros(0, int)
 
-    label = _forest(len(uid), links)
+    some = np.zeros(len(uid), bool)
+    some[s_at[bits.any(1)]] = True
+    some[q_at[np.unpackbits(np.bitwise_or.reduce(bits, axis=0), count=nq).astype(bool)]] = True
+    label = _forest(len(uid), np.flatnonzero(some), links)
     other = np.flatnonzero(label != np.arange(len(uid)))
     if len(other):
         yield {"kind": np.full(len(other), 2, np.int8), "id": uid[other], "other": uid[label[other]], "x": np.zeros(len(other))}
 
 
-def density_peaks(df: DataFrame, id_col: str, vec_col: str, dim: int, radius: float, k: int = 4, tables: int = 5, hashes: int = 2, seed: int = 11, cap: int = V.BLOCK_CAP) -> DataFrame:
+def _offers(block: V.Block, bits: np.ndarray, rank_s: np.ndarray, rank_q: np.ndarray, step: int):
+    """Per querying row its nearest stored neighbour of no lower rank, and that of the highest rank."""
+    stored, query = block.stored, block.query
+    rank_s, rank_q = rank_s / len(query), rank_q / len(stored)
+    asks = np.flatnonzero(np.unpackbits(np.bitwise_or.reduce(bits, axis=0), count=len(query)))
+    gives = np.flatnonzero(bits.any(1))
+    nearest, dist = np.full(len(asks), -1), np.full(len(asks), np.inf, np.float32)
+    top, height = np.full(len(asks), -1), np.full(len(asks), -1.0)
+    cols = np.arange(len(asks))
+    step = max(1, (8 << 20) // len(asks))
+    for s in range(0, len(gives), step):
+        rows = gives[s : s + step]
+        near = np.unpackbits(bits[rows], axis=1, count=len(query))[:, asks].astype(bool)
+        d = block.rough(stored[rows], query[asks])
+        d[~near | (rank_s[rows][:, None] < rank_q[asks][None])] = np.inf
+        i = d.argmin(0)
+        better = d[i, cols] < dist
+        nearest[better], dist[better] = rows[i[better]], d[i, cols][better]
+        h = np.where(near, rank_s[rows][:, None], -1.0)
+        i = h.argmax(0)
+        better = h[i, cols] > height
+        top[better], height[better] = rows[i[better]], h[i, cols][better]
+    for pick, ok in ((nearest, nearest >= 0), (top, (top >= 0) & (top != nearest))):
+        a, b = query[asks[ok]], stored[pick[ok]]
+        yield {"kind": np.zeros(len(a), np.int8), "id": block.ids[a], "other": block.ids[b], "x": block.exact(a, b)}
+
+
+def density_peaks(df: DataFrame, id_col: str, vec_col: str, dim: int, radius: float, tables: int = 3, seed: int = 11, cap: int = V.BLOCK_CAP) -> DataFrame:
     """Columns ``id, cluster, density, peak``: every valid vector with its cluster.
 
     ``cluster`` is the smallest id of the cluster, ``density`` the number of other points within
@@ -115,14 +157,17 @@ def density_peaks(df: DataFrame, id_col: str, vec_col: str, dim: int, radius: fl
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "density")
-    members, reps = V.copy_groups(V.valid_vectors(df, id_col, vec_col, dim), scratch)
-    size = scratch.write(members.groupBy("rep").agg(F.count(F.lit(1)).alias("copies")).select(F.col("rep").alias("id"), "copies"))
-    rows = V.bucket_rows(reps, dim, tables, hashes, seed, cap, scratch, size.where("copies > 1"))
+    v = V.Vectors(df, id_col, vec_col, dim, scratch)
+    members = v.members
+    size = v.groups.select(F.col("rep").alias("id"), "low", "copies")
+    # A row may carry another id of its group than the representative.
+    several = members.join(v.groups.where("copies > 1"), "rep").select("id", "copies")
+    rows = V.bucket_rows(v, tables, seed, cap, several)
     r2 = radius * radius
-    found = scratch.write(V.for_each_block(rows, dim, _SCHEMA, _DDL, lambda b: _survey(b, k, r2)), partition_by=["kind"])
+    found = scratch.write(V.for_each_block(rows, dim, _SCHEMA, _DDL, lambda b: _survey(b, r2)), partition_by=["kind"])
     # A block counts every neighbour that no other block or earlier table counts, so the parts add up.
     per_block = found.where("kind = 1").groupBy("id").agg(F.sum("x").alias("x"))
-    dens = scratch.write(size.join(per_block, "id", "left").select("id", "copies", (F.coalesce("x", F.lit(0.0)) + F.col("copies") - 1).alias("density")))
+    dens = scratch.write(size.join(per_block, "id", "left").select("id", "low", "copies", (F.coalesce("x", F.lit(0.0)) + F.col("copies") - 1).alias("density")))
     near = found.where("kind = 0").select("id", "other", F.col("x").alias("d2"))
     up = (
         near.join(dens.select("id", "density"), "id")
@@ -140,8 +185,9 @@ def density_peaks(df: DataFrame, id_col: str, vec_col: str, dim: int, radius: fl
     )
     joined = connected_components(scratch.write(border))
     peaks = ptr.join(joined.select(F.col("id").alias("ptr"), F.col("component")), "ptr", "left").select("id", F.col("ptr").alias("peak"), F.coalesce("component", "ptr").alias("c"))
-    lowest = peaks.groupBy("c").agg(F.min("id").alias("cluster"))
-    by_rep = scratch.write(peaks.join(lowest, "c").join(dens.select("id", "density"), "id").select(F.col("id").alias("rep"), "cluster", "density", "peak"))
+    peaks = scratch.write(peaks.join(dens.select("id", "low", "density"), "id"))
+    lowest = peaks.groupBy("c").agg(F.min("low").alias("cluster"))
+    by_rep = scratch.write(peaks.join(lowest, "c").select(F.col("id").alias("rep"), "cluster", "density", "peak"))
     return members.join(by_rep, "rep").select("id", "cluster", F.col("density").cast("long").alias("density"), "peak")
 
 

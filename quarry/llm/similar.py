@@ -17,16 +17,17 @@ from quarry.session import Scratch
 _SCHEMA = pa.schema([("id", pa.int64()), ("other", pa.int64()), ("d2", pa.float64())])
 
 
-def nearest_neighbours(df: DataFrame, id_col: str, vec_col: str, dim: int, k: int = 5, max_distance: float = float("inf"), tables: int = 4, hashes: int = 2, seed: int = 7, cap: int = V.BLOCK_CAP) -> DataFrame:
+def nearest_neighbours(df: DataFrame, id_col: str, vec_col: str, dim: int, k: int = 5, max_distance: float = float("inf"), tables: int = 3, seed: int = 7, cap: int = V.BLOCK_CAP) -> DataFrame:
     """Columns ``id, other, distance``: for every valid vector its k nearest others.
 
     Equal distances: the smaller id is nearer. Vectors farther than ``max_distance`` are left out.
-    Recall is a matter of ``tables`` and ``hashes``; distances are exact. Invalid vectors (see
-    ``valid_vectors``) neither ask nor answer; an empty table gives an empty result.
+    Recall is a matter of ``tables``; distances are exact. Invalid vectors (see
+    ``vectors``) neither ask nor answer; an empty table gives an empty result.
     """
     scratch = Scratch(df.sparkSession, "similar")
-    members, reps = V.copy_groups(V.valid_vectors(df, id_col, vec_col, dim), scratch)
-    rows = V.bucket_rows(reps, dim, tables, hashes, seed, cap, scratch)
+    v = V.Vectors(df, id_col, vec_col, dim, scratch)
+    members = v.members
+    rows = V.bucket_rows(v, tables, seed, cap)
     max_d2 = max_distance * max_distance
     found = V.for_each_block(rows, dim, _SCHEMA, "id long, other long, d2 double", lambda b: V.block_neighbours(b, k, max_d2))
     best = merge_neighbours(found, k)

@@ -2,234 +2,304 @@
 
 Vectors are centred (per table about the mean moved by a quarter of the root-mean-square radius in
 a random direction, so that points near the mean still have a stable direction), normalised and
-rotated by pseudo-random rotations H D3 H D2 H D1 (H the fast Hadamard transform, D random signs).
-The hash is the nearest signed axis; a table concatenates several such hashes. Multiprobe: every
-vector is stored in its own bucket and also queries the bucket reached by changing the one hash
-whose runner-up axis is nearest.
-
-A bucket is compared exactly as matrix blocks. Buckets above ``cap`` stored rows are cut into
-blocks and every pair of blocks becomes a task of its own, so any bucket size is handled exactly
-and no task holds more than two blocks.
+rotated by pseudo-random rotations H D3 H D2 H D1 (H the Hadamard transform, D random signs). The
+hash is the nearest signed axis. A table concatenates as many hashes as the number of vectors asks
+for (``hash_widths``), the last one over the leading axes only, so that buckets keep their size
+while the collection grows. Multiprobe: every vector is stored in its own bucket, and queries the
+bucket reached by changing the one hash whose runner-up axis is nearest, unless that is far
+(``PROBE_GAP``).
+
+A bucket is compared exactly as matrix blocks. Buckets with more than ``cap`` stored or querying
+rows are cut into parts and every pair of parts becomes a block of its own, so any bucket size is
+handled exactly and no block holds more than two parts.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.session import Scratch, broadcast_if_small
 
-#: Stored rows a block holds at most.
-BLOCK_CAP = 4096
+#: Stored, and querying, rows that a block holds at most.
+BLOCK_CAP = 8192
+#: Vectors that an average bucket should hold.
+BUCKET_ROWS = 256
+#: Unit vectors whose runner-up axis is behind by more ask in their own bucket only.
+PROBE_GAP = 0.05
+#: Vectors that show which buckets are above the cap (all of them, if there are no more).
+HOT_SAMPLE = 1_000_000
+#: Fingerprints that a task remembers at a time, to carry one of many copies.
+SEEN = 300_000
 STORE, STORE_AS_QUERY, STORE_ONLY, PROBE = 0, 1, 2, 3
 
 
-def valid_vectors(df: DataFrame, id_col: str, vec_col: str, dim: int) -> DataFrame:
-    """Rows ``id, vec`` whose vector has ``dim`` finite elements that are not all zero.
+class Vectors:
+    """The distinct valid vectors of a table, and which ids share one.
 
-    Null, short or long vectors and null ids are dropped, as are vectors with a null, NaN or
-    infinite element. Rows of one id agree by contract; repeated rows stay (later steps ignore them).
+    ``rows(id, vec)`` holds packed vectors, at least one row per distinct vector; a task drops the
+    copies it remembers. ``members(rep, id)`` lists every valid id under the representative of its
+    vector, ``groups(rep, low, copies)`` the smallest id and the number of ids of each.
     """
-    c = F.col(vec_col)
-    ok = (F.size(c) == dim) & F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(c, lambda x: x != 0)
-    return df.where(F.col(id_col).isNotNull() & c.isNotNull() & ok).select(F.col(id_col).cast("long").alias("id"), c.alias("vec"))
 
-
-def copy_groups(vectors: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Exact copies: ``members(rep, id)`` and one row ``reps(id, vec)`` per distinct vector.
-
-    Grouped by a 128-bit fingerprint of the vector; the representative is the smallest id. The
-    vectors themselves are shuffled once and combined map-side, so a third of all rows being copies
-    of one vector costs one row per task.
+    def __init__(self, df: DataFrame, id_col: str, vec_col: str, dim: int, scratch: Scratch):
+        self.dim, self.scratch, self.spark = dim, scratch, df.sparkSession
+        inner = df.schema[vec_col].dataType.elementType.simpleString()
+        vec = F.col(vec_col) if inner in ("float", "double") else F.col(vec_col).cast("array<double>")
+        src = df.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), vec.alias("vec"))
+        packed = scratch.write(src.mapInArrow(lambda b: _read(b, dim), "id long, f1 long, f2 long, vec binary, n long, square double, sums array<double>"))
+        self.n, self.mean, self.radius = _centre(packed, dim)
+        self.rows = packed.where("vec is not null").select("id", "vec")
+        ids = packed.where("id is not null").groupBy("f1", "f2", "id").agg(F.max(F.col("vec").isNotNull()).alias("held"))
+        ids = scratch.write(ids)
+        groups = ids.groupBy("f1", "f2").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("copies"), F.min(F.when(F.col("held"), F.col("id"))).alias("rep"))
+        groups = scratch.write(groups)
+        self.groups = groups.select("rep", "low", "copies")
+        self.members = scratch.write(ids.join(groups.select("f1", "f2", "rep"), ["f1", "f2"]).select("rep", "id"))
+
+
+def _read(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBatch]:
+    """Valid rows with a 128-bit fingerprint, packed where no copy is remembered; last the sums.
+
+    Valid are vectors of ``dim`` finite elements that are not all zero. Null, short or long vectors
+    and null ids are dropped. Minus zero counts as zero.
     """
-    fp = vectors.select("id", "vec", F.xxhash64("vec").alias("f1"), F.xxhash64(F.lit(17), F.reverse("vec")).alias("f2"))
-    firsts = scratch.write(fp.groupBy("f1", "f2").agg(F.min("id").alias("id"), F.first("vec").alias("vec")))
-    rep = firsts.select("f1", "f2", F.col("id").alias("rep"))
-    members = scratch.write(fp.select("f1", "f2", "id").distinct().join(rep, ["f1", "f2"]).select("rep", "id"))
-    return members, firsts.select("id", "vec")
-
-
-def _signs_matrix(n: int) -> np.ndarray:
-    h = np.ones((1, 1), np.float32)
+    seen: set[bytes] = set()
+    count, total, square = 0, np.zeros(dim), 0.0
+    names = ["id", "f1", "f2", "vec", "n", "square", "sums"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.float64(), pa.list_(pa.float64())]
+    for b in batches:
+        lists = b.column("vec")
+        fits = pc.equal(pc.list_value_length(lists), dim)
+        x = lists.filter(fits).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+        ids = b.column("id").filter(fits).to_numpy()
+        ok = np.isfinite(x).all(1) & (x != 0).any(1)
+        x, ids = x[ok] + 0.0, ids[ok]
+        if not len(x):
+            continue
+        raw = pack(x)
+        marks = [hashlib.blake2b(r, digest_size=16).digest() for r in raw]
+        fresh = []
+        for m in marks:
+            if len(seen) >= SEEN:
+                seen.clear()
+            fresh.append(m not in seen)
+            seen.add(m)
+        f = np.frombuffer(b"".join(marks), np.int64).reshape(-1, 2)
+        new = x[np.array(fresh)].astype(np.float64)
+        count, total, square = count + len(new), total + new.sum(0), square + float((new * new).sum())
+        none = [None] * len(ids)
+        yield pa.record_batch([pa.array(c, k) for c, k in zip((ids, f[:, 0], f[:, 1], [r if y else None for r, y in zip(raw, fresh)], none, none, none), kinds)], names=names)
+    yield pa.record_batch([pa.array([c], k) for c, k in zip((None, None, None, None, count, square, total.tolist()), kinds)], names=names)
+
+
+def _centre(packed: DataFrame, dim: int) -> tuple[int, np.ndarray, float]:
+    """Number, mean and root-mean-square radius of the packed vectors, from the sums of the tasks."""
+    part = packed.where("sums is not null").select("n", "square", F.posexplode("sums").alias("i", "x"))
+    mean, n, square = np.zeros(dim), 0, 0.0
+    for r in part.groupBy("i").agg(F.sum("x").alias("x"), F.sum("n").alias("n"), F.sum("square").alias("q")).collect():
+        n, square = r["n"], r["q"]
+        mean[r["i"]] = r["x"] / max(n, 1)
+    return n, mean, float(np.sqrt(max(square / max(n, 1) - mean @ mean, 1e-12)))
+
+
+def hash_widths(n: int, width: int) -> list[int]:
+    """Axes of each hash of a table: whole ones, and a narrower last one, for n / BUCKET_ROWS buckets,
+    eight at least."""
+    out, left = [], max(8.0, n / BUCKET_ROWS)
+    while left > 1:
+        axes = min(width, 1 << int(np.ceil(np.log2(left / 2)))) if left > 2 else 1
+        out.append(axes)
+        left /= 2 * axes
+    return out
+
+
+def _hadamard(n: int) -> np.ndarray:
+    h = np.ones((1, 1))
     while len(h) < n:
-        h = np.block([[h, h], [h, -h]]).astype(np.float32)
+        h = np.block([[h, h], [h, -h]])
     return h
 
 
-def hadamard(x: np.ndarray) -> np.ndarray:
-    """Fast Walsh-Hadamard transform of the rows (length a power of two), unnormalised, its outputs
-    in one fixed order.
+class CrossPolytope:
+    """Hash functions of all tables; built from a seed, so every task has the same.
 
-    The transform of length a*b is one of length b over runs and one of length a across them: two
-    small products of n (a + b) instead of n^2 operations.
+    The three Hadamard factors of a rotation are multiplied once and applied as one matrix, which for
+    widths of some hundred is faster than transforming every vector three times.
     """
-    n = x.shape[1]
-    a = 1 << (n.bit_length() - 1) // 2
-    b = n // a
-    y = (x.reshape(-1, b) @ _signs_matrix(b)).reshape(len(x), a, b)
-    return (np.ascontiguousarray(y.transpose(0, 2, 1)).reshape(-1, a) @ _signs_matrix(a)).reshape(len(x), n)
 
-
-class CrossPolytope:
-    """Hash functions of all tables; built from a seed, so every task has the same."""
-
-    def __init__(self, dim: int, mean: np.ndarray, radius: float, tables: int, hashes: int, seed: int):
+    def __init__(self, dim: int, mean: np.ndarray, radius: float, tables: int, axes: list[int], seed: int):
         rng = np.random.default_rng(seed)
-        self.dim, self.width = dim, 1 << max(0, (dim - 1)).bit_length()
+        self.axes, self.tables = axes, tables
+        width = padded(dim)
         e = rng.normal(size=(tables, dim))
         self.centres = (mean[None] - 0.25 * radius * e / np.linalg.norm(e, axis=1, keepdims=True)).astype(np.float32)
-        self.signs = rng.choice(np.array([-1, 1], np.float32), (tables, hashes, 3, self.width))
-
-    def codes(self, x: np.ndarray) -> np.ndarray:
-        """Own and probe bucket of every row and table: int64 [rows, tables, 2]."""
-        tables, hashes = self.signs.shape[:2]
-        out = np.empty((len(x), tables, 2), np.int64)
-        base = 2 * self.width
+        signs = rng.choice(np.array([-1.0, 1.0]), (tables, len(axes), 3, width))
+        h = _hadamard(width) / np.sqrt(width)
+        self.turns = []
         for t in range(tables):
-            y = np.zeros((len(x), self.width), np.float32)
-            y[:, : self.dim] = x - self.centres[t]
-            first, second = np.empty((hashes, len(x)), np.int64), np.empty((hashes, len(x)), np.int64)
-            gap = np.empty((hashes, len(x)), np.float32)
-            for h in range(hashes):
-                z = y
-                for s in self.signs[t, h]:
-                    z = hadamard(z * s)
+            row = []
+            for k, a in enumerate(axes):
+                m = np.eye(width)
+                for s in signs[t, k]:
+                    m = (m * s) @ h
+                row.append(m[:dim, :a].astype(np.float32))
+            self.turns.append(row)
+
+    def codes(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Own and probe bucket of every row and table, int64 [rows, tables, 2], and whether to probe."""
+        n = len(x)
+        out, ask = np.empty((n, self.tables, 2), np.int64), np.empty((n, self.tables), bool)
+        at = np.arange(n)
+        for t, turns in enumerate(self.turns):
+            y = x - self.centres[t]
+            y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-30)
+            own, probe = np.zeros(n, np.int64), np.zeros(n, np.int64)
+            first, second, gap = [], [], np.empty((len(turns), n), np.float32)
+            for k, m in enumerate(turns):
+                z = y @ m
                 a = np.abs(z)
-                rows = np.arange(len(x))
                 i = a.argmax(1)
-                top = a[rows, i].copy()
-                a[rows, i] = -1
-                j = a.argmax(1)
-                gap[h] = (top - a[rows, j]) / np.maximum(top, 1e-30)
-                first[h] = i + self.width * (z[rows, i] < 0)
-                second[h] = j + self.width * (z[rows, j] < 0)
-            own = np.zeros(len(x), np.int64)
-            probe = np.zeros(len(x), np.int64)
+                top = a[at, i].copy()
+                if a.shape[1] > 1:
+                    a[at, i] = -1
+                    j = a.argmax(1)
+                    gap[k] = top - a[at, j]
+                else:  # one axis: its other side is the runner-up
+                    j, gap[k] = i, 2 * top
+                w = a.shape[1]
+                first.append(i + w * (z[at, i] < 0))
+                second.append(j + w * (z[at, j] < 0) if w > 1 else 1 - first[-1])
             swap = gap.argmin(0)
-            for h in range(hashes):
-                own = own * base + first[h]
-                probe = probe * base + np.where(swap == h, second[h], first[h])
+            for k, w in enumerate(self.axes):
+                own = own * (2 * w) + first[k]
+                probe = probe * (2 * w) + np.where(swap == k, second[k], first[k])
             out[:, t, 0], out[:, t, 1] = own, probe
-        return out
+            ask[:, t] = gap.min(0) < PROBE_GAP
+        return out, ask
 
 
-def matrix_of(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
-    """A list column as a matrix, in its own float type."""
-    chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
-    parts = [c.flatten().to_numpy(zero_copy_only=False) for c in chunks]
-    return (np.concatenate(parts) if parts else np.zeros(0, np.float32)).reshape(-1, dim)
+def padded(dim: int) -> int:
+    """The next power of two."""
+    return 1 << max(0, dim - 1).bit_length()
 
 
-def pack(x: np.ndarray) -> tuple[list[bytes], int]:
-    """Rows as bytes in the narrowest float type that holds them exactly, and that type's size."""
-    for kind in (np.float16, np.float32):
+def pack(x: np.ndarray) -> list[bytes]:
+    """Rows as bytes, each in the narrowest float type that holds it exactly."""
+    out: list[bytes | None] = [None] * len(x)
+    left = np.arange(len(x))
+    for kind in (np.float16, np.float32, np.float64):
         with np.errstate(over="ignore"):
-            y = x.astype(kind)
-        if (y.astype(np.float64) == x).all():
+            y = x[left].astype(kind)
+        ok = (y.astype(np.float64) == x[left]).all(1)
+        raw, step = y[ok].tobytes(), y.itemsize * x.shape[1]
+        for k, i in enumerate(left[ok]):
+            out[i] = raw[k * step : (k + 1) * step]
+        left = left[~ok]
+        if not len(left):
             break
-    else:
-        y = x.astype(np.float64)
-    raw, step = y.tobytes(), y.itemsize * x.shape[1]
-    return [raw[i : i + step] for i in range(0, len(raw), step)], y.itemsize
+    return out
 
 
-def unpack(column: pa.Array, dim: int) -> np.ndarray:
-    """float32/64 matrix of packed rows (their length tells the type)."""
+def unpack(rows: list[bytes], dim: int) -> np.ndarray:
+    """Matrix of packed rows (their length tells the type)."""
     kinds = {2 * dim: np.float16, 4 * dim: np.float32, 8 * dim: np.float64}
-    rows = column.to_pylist()
     sizes = {len(r) for r in rows}
     if len(sizes) == 1:
         return np.frombuffer(b"".join(rows), kinds[sizes.pop()]).reshape(-1, dim)
     return np.stack([np.frombuffer(r, kinds[len(r)]).astype(np.float64) for r in rows]) if rows else np.zeros((0, dim), np.float32)
 
 
-def centre_of(reps: DataFrame, dim: int) -> tuple[np.ndarray, float]:
-    """Mean and root-mean-square radius over all vectors; each task returns one partial sum."""
-
-    def part(batches):
-        n, s, q = 0, np.zeros(dim), 0.0
-        for b in batches:
-            x = matrix_of(b.column("vec"), dim).astype(np.float64)
-            n, s, q = n + len(x), s + x.sum(0), q + float((x * x).sum())
-        yield pa.record_batch({"n": pa.array([n], pa.int64()), "s": pa.array([s.tolist()], pa.list_(pa.float64())), "q": pa.array([q])})
-
-    sums = reps.select("vec").mapInArrow(part, "n long, s array<double>, q double")
-    row = sums.select("n", "q", F.posexplode("s").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x"), F.sum("n").alias("n"), F.sum("q").alias("q")).collect()
-    n = row[0]["n"] if row else 0
-    mean = np.zeros(dim)
-    if not n:
-        return mean, 1.0
-    for r in row:
-        mean[r["i"]] = r["x"] / n
-    return mean, float(np.sqrt(max(row[0]["q"] / n - mean @ mean, 1e-12)))
-
-
-def bucket_rows(reps: DataFrame, dim: int, tables: int, hashes: int, seed: int, cap: int, scratch: Scratch, copies: DataFrame | None = None) -> DataFrame:
+def bucket_rows(v: Vectors, tables: int, seed: int, cap: int, copies: DataFrame | None = None) -> DataFrame:
     """Rows ``key, role, id, vec`` (packed vectors) ready to be compared key by key.
 
     With ``copies(id, copies)`` every row also carries its number of copies (1 where it is not named)
     and ``met``: its own and probe bucket in the tables up to that of the row.
     """
-    mean, radius = centre_of(reps, dim)
-    lsh = CrossPolytope(dim, mean, radius, tables, hashes, seed)
+    dim, axes = v.dim, hash_widths(v.n, padded(v.dim))
+    lsh = CrossPolytope(dim, v.mean, v.radius, tables, axes, seed)
+    weighed = copies is not None
 
-    def hashed(batches):
+    def spread(batches, vectors: bool):
         for b in batches:
             for s in range(0, b.num_rows, 4096):
                 c = b.slice(s, 4096)
-                x = matrix_of(c.column("vec"), dim)
-                codes = lsh.codes(x.astype(np.float32))
-                flat = pa.ListArray.from_arrays(np.arange(0, codes.size + 1, 2 * tables, dtype=np.int32), pa.array(codes.reshape(-1)))
-                yield pa.record_batch({"id": c.column("id"), "vec": pa.array(pack(x)[0], pa.binary()), "codes": flat})
-
-    coded = reps.mapInArrow(hashed, "id long, vec binary, codes array<long>")
-    if copies is not None:
-        coded = coded.join(broadcast_if_small(copies), "id", "left").withColumn("copies", F.coalesce("copies", F.lit(1)).cast("long"))
-    coded = scratch.write(coded)
-    n = coded.count()
-    held = ["id", "vec"] if copies is None else ["id", "vec", "copies", "met"]
-    own = coded.select(F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), lambda t: F.get(F.col("codes"), 2 * t))).alias("t", "b"))
-    # Buckets above the cap number at most tables * n / cap.
-    hot = scratch.write(own.groupBy("t", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cap).select("t", "b", F.ceil(F.col("n") / cap).cast("int").alias("nb")))
-    probes = F.posexplode(F.col("codes")).alias("i", "b")
-    rows = coded.select("*", probes).withColumn("t", F.floor(F.col("i") / 2).cast("int")).withColumn("met", F.slice("codes", F.lit(1), 2 * F.col("t") + 2))
-    rows = rows.select(*held, "t", "b", F.when(F.col("i") % 2 == 0, STORE).otherwise(PROBE).alias("role"))
+                codes, ask = lsh.codes(unpack(c.column("vec").to_pylist(), dim).astype(np.float32))
+                for t in range(tables):
+                    asks = np.flatnonzero(ask[:, t])
+                    at = np.append(np.arange(c.num_rows), asks)
+                    bucket = np.append(codes[:, t, 0], codes[asks, t, 1])
+                    role = np.append(np.full(c.num_rows, STORE), np.full(len(asks), PROBE)).astype(np.int8)
+                    cols = [np.full(len(at), t, np.int8), bucket, role]
+                    names = ["t", "b", "role"]
+                    if vectors:
+                        cols += [c.column(k).take(pa.array(at)) for k in (["id", "vec", "copies"] if weighed else ["id", "vec"])]
+                        names += ["id", "vec", *(["copies"] if weighed else [])]
+                        if weighed:
+                            # a bucket that is not asked is met by nobody
+                            seen = np.where(np.dstack([np.ones_like(ask), ask])[: , : t + 1], codes[:, : t + 1], -1)[at]
+                            cols.append(pa.ListArray.from_arrays(np.arange(0, seen.size + 1, 2 * (t + 1), dtype=np.int32), pa.array(seen.reshape(-1))))
+                            names.append("met")
+                    yield pa.record_batch(cols, names=names)
+
+    ddl = "t byte, b long, role byte"
+    sample = max(1, v.n // HOT_SAMPLE)
+    shown = v.rows.where(F.pmod(F.xxhash64("vec"), F.lit(sample)) == 0) if sample > 1 else v.rows
+    most = shown.select("vec").mapInArrow(lambda x: spread(x, False), ddl).groupBy("t", "b", "role").agg((F.count(F.lit(1)) * sample).alias("n"))
+    # Buckets above the cap number at most 2 * tables * n / cap.
+    hot = v.scratch.write(most.groupBy("t", "b").agg(F.max("n").alias("n")).where(F.col("n") > cap).select("t", "b", F.ceil(F.col("n") / cap).cast("int").alias("nb")))
+    src = v.rows
+    if weighed:
+        src = src.join(broadcast_if_small(copies), "id", "left").select("id", "vec", F.coalesce("copies", F.lit(1)).cast("long").alias("copies"))
+    rows = src.mapInArrow(lambda x: spread(x, True), ddl + ", id long, vec binary" + (", copies long, met array<long>" if weighed else ""))
+    held = ["id", "vec", *(["copies", "met"] if weighed else [])]
+    key = F.xxhash64("t", "b")
     if hot.limit(1).count():
-        rows = rows.join(broadcast_if_small(hot), ["t", "b"], "left")
-        i = F.pmod(F.xxhash64("id"), F.coalesce("nb", F.lit(1))).cast("int")
-        rows = rows.withColumn("i", i)
-        # A probe goes to (i, every j); a stored row to (i, every j) as query and (every i, j=i) as stored.
+        # Copies fall into one part. A probe goes to (its part, every part); a stored row there as a
+        # query, and to (every part, its own) as stored.
+        rows = rows.join(broadcast_if_small(hot), ["t", "b"], "left").withColumn("i", F.pmod(F.xxhash64("vec"), F.coalesce("nb", F.lit(1))).cast("int"))
         every = F.sequence(F.lit(0), F.coalesce("nb", F.lit(1)) - 1)
-        as_query = rows.select(*held, "t", "b", "i", "role", F.explode(every).alias("j")).withColumn("role", F.when(F.col("role") == PROBE, PROBE).when(F.col("j") == F.col("i"), STORE).otherwise(STORE_AS_QUERY))
-        as_store = rows.where((F.col("role") == STORE) & F.col("nb").isNotNull()).select(*held, "t", "b", F.explode(every).alias("i2"), F.col("i").alias("j")).where("i2 <> j").select(*held, "t", "b", F.col("i2").alias("i"), F.lit(STORE_ONLY).alias("role"), "j")
-        rows = as_query.unionByName(as_store)
+        stored = F.array_distinct(F.flatten(F.transform(every, lambda j: F.array(
+            F.struct(F.col("i").alias("i"), j.alias("j"), F.when(j == F.col("i"), STORE).otherwise(STORE_AS_QUERY).alias("role")),
+            F.struct(F.when(j == F.col("i"), F.col("i")).otherwise(j).alias("i"), F.col("i").alias("j"), F.when(j == F.col("i"), STORE).otherwise(STORE_ONLY).alias("role")),
+        ))))
+        asked = F.transform(every, lambda j: F.struct(F.col("i").alias("i"), j.alias("j"), F.lit(PROBE).alias("role")))
+        rows = rows.select("t", "b", *held, F.explode(F.when(F.col("role") == PROBE, asked).otherwise(stored)).alias("x")).select("t", "b", *held, "x.i", "x.j", "x.role")
         key = F.xxhash64("t", "b", "i", "j")
-    else:
-        key = F.xxhash64("t", "b")
     # about 16 MB of packed vectors a task
-    extra = 0 if copies is None else 8 * tables + 16
-    parts = max(int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * tables * 2 * (2 * dim + 40 + extra) // (16 << 20) + 1)
-    more = [] if copies is None else ["copies", "met"]
-    return rows.select(key.alias("key"), F.col("role").cast("byte").alias("role"), "id", "vec", *more).repartition(parts, "key")
+    width = 2 * dim + 40 + (8 * tables + 16 if weighed else 0)
+    parts = max(int(v.spark.conf.get("spark.sql.shuffle.partitions")), v.n * tables * 2 * width // (16 << 20) + 1)
+    return rows.select(key.alias("key"), F.col("role").cast("byte").alias("role"), *held).repartition(parts, "key")
 
 
 class Block:
-    """One bucket block: stored rows, their queries, and squared distances on demand."""
+    """One bucket block: stored rows, their queries, and squared distances on demand.
+
+    Copies that several tasks carried are one row, under their smallest id.
+    """
 
-    def __init__(self, ids: np.ndarray, role: np.ndarray, x: np.ndarray, copies: np.ndarray | None = None, met: np.ndarray | None = None):
+    def __init__(self, ids: np.ndarray, role: np.ndarray, rows: list[bytes], dim: int, copies: np.ndarray | None = None, met: np.ndarray | None = None):
+        low: dict[bytes, int] = {}
+        for i, r in zip(ids.tolist(), rows):
+            if low.setdefault(r, i) > i:
+                low[r] = i
+        if len(low) < len(rows):
+            ids = np.array([low[r] for r in rows], np.int64)
         order = np.lexsort((role, ids))
         keep = np.append(True, (ids[order][1:] != ids[order][:-1]) | (role[order][1:] != role[order][:-1]))
         order = order[keep]
-        ids, role, x = ids[order], role[order], x[order]
+        self.ids, role = ids[order], role[order]
         self.copies, self.met = (None, None) if copies is None else (copies[order], met[order])
         self.stored = np.flatnonzero((role == STORE) | (role == STORE_ONLY))
         self.query = np.flatnonzero(role != STORE_ONLY)
         self.probe = np.flatnonzero(role == PROBE)
-        self.ids, self.x = ids, x.astype(np.float64)
+        self.x = unpack([rows[i] for i in order], dim).astype(np.float64)
         mid = self.x.mean(0)
         self.low = (self.x - mid).astype(np.float32)
         self.sq = np.einsum("ij,ij->i", self.low, self.low)
@@ -283,7 +353,7 @@ def for_each_block(rows: DataFrame, dim: int, schema: pa.Schema, ddl: str, work:
             if met is not None:
                 m = met.take(pa.array(at))
                 more = copies[at], m.flatten().to_numpy().reshape(len(at), -1, 2)
-            block = Block(ids[at], role[at], unpack(vec.take(pa.array(at)), dim), *more)
+            block = Block(ids[at], role[at], vec.take(pa.array(at)).to_pylist(), dim, *more)
             if len(block.ids) < 2:
                 continue
             for out in work(block):
