@@ -1,9 +1,12 @@
 """Most frequent items in bounded memory.
 
-Space-saving summaries: a partition keeps at most ``counters`` items. Whatever is not kept is
-covered by the summary's error bound, the largest count that a missing item could have. Summaries
-merge in a tree of bounded fan-in; the bound adds up along the way, so an item that is frequent
-enough cannot be lost. A second pass counts the surviving candidates exactly.
+Space-saving summaries: a partition keeps at most ``counters`` items, each with a count that is never
+too low and the error by which it may be too high. A new item takes the place of the smallest
+counter and inherits its count as its error. Batches and partial summaries merge by the same rule:
+an item that only one side holds may have had the other side's smallest count there, so that much
+is added to its count and to its error, and the largest counts stay. Summaries merge in a tree of
+bounded fan-in; no error exceeds rows / counters at any level, so an item that is frequent enough
+cannot be lost. A second pass counts the surviving candidates exactly.
 """
 
 from __future__ import annotations
@@ -13,46 +16,53 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.session import Scratch
+from quarry.session import Scratch, broadcast_if_small
 
-_SCHEMA = pa.schema([("col", pa.int32()), ("items", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("missed", pa.int64()), ("rows", pa.int64())])
-_DDL = "col int, items array<long>, counts array<long>, missed long, rows long"
+_SCHEMA = pa.schema([("col", pa.int32()), ("items", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("errors", pa.list_(pa.int64())), ("rows", pa.int64())])
+_DDL = "col int, items array<long>, counts array<long>, errors array<long>, rows long"
 FAN_IN = 16
 
 
 class Summary:
-    """Counts of at most ``size`` items; ``missed`` bounds the true count of any item not held.
-
-    Held counts are lower bounds: the true count lies in [count, count + missed].
-    """
+    """At most ``size`` counters: the true count of a held item lies in [count - error, count], that of
+    any other item is at most ``floor``."""
 
     def __init__(self, size: int):
-        self.size, self.missed, self.rows = size, 0, 0
-        self.items, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def add(self, items: np.ndarray, counts: np.ndarray, missed: int = 0, rows: int | None = None) -> None:
-        every = np.concatenate([self.items, items])
-        weight = np.concatenate([self.counts, counts])
-        self.items, code = np.unique(every, return_inverse=True)
-        total = np.zeros(len(self.items), np.int64)
-        np.add.at(total, code.reshape(-1), weight)
-        self.counts = total
-        self.missed += missed
-        self.rows += int(counts.sum()) if rows is None else rows
-        if len(self.items) > self.size:
-            # Take the count of the first item that no longer fits from all of them: each unit taken
-            # is taken from size + 1 items at once, so all reductions sum to at most rows / (size + 1).
-            cut = int(np.partition(self.counts, len(self.counts) - self.size - 1)[len(self.counts) - self.size - 1])
-            keep = self.counts > cut
-            self.items, self.counts = self.items[keep], self.counts[keep] - cut
-            self.missed += cut
+        self.size, self.rows = size, 0
+        self.items, self.counts, self.errors = (np.zeros(0, np.int64) for _ in range(3))
+
+    @property
+    def floor(self) -> int:
+        return int(self.counts.min()) if len(self.items) >= self.size else 0
+
+    def merge(self, items: np.ndarray, counts: np.ndarray, errors: np.ndarray, floor: int, rows: int) -> None:
+        """Takes in distinct items with their counters; ``floor`` bounds what the other side left out."""
+        mine = self.floor
+        every, at = np.unique(np.concatenate([self.items, items]), return_inverse=True)
+        at = at.reshape(-1)
+        a, b = at[: len(self.items)], at[len(self.items) :]
+        count, error = np.zeros((2, len(every)), np.int64), np.zeros((2, len(every)), np.int64)
+        count[0], error[0], count[1], error[1] = mine, mine, floor, floor
+        count[0, a], error[0, a], count[1, b], error[1, b] = self.counts, self.errors, counts, errors
+        self.items, self.counts, self.errors = every, count.sum(0), error.sum(0)
+        self.rows += rows
+        if len(every) > self.size:
+            keep = np.sort(np.argpartition(-self.counts, self.size - 1)[: self.size])
+            self.items, self.counts, self.errors = self.items[keep], self.counts[keep], self.errors[keep]
+
+    def add(self, items: np.ndarray, counts: np.ndarray) -> None:
+        """Takes in exact counts of distinct items."""
+        self.merge(items, counts, np.zeros(len(items), np.int64), 0, int(counts.sum()))
 
     def batch(self, col: int) -> pa.RecordBatch:
-        return pa.record_batch([pa.array([col], pa.int32()), pa.array([self.items], pa.list_(pa.int64())), pa.array([self.counts], pa.list_(pa.int64())), pa.array([self.missed]), pa.array([self.rows])], schema=_SCHEMA)
+        lists = [pa.array([x], pa.list_(pa.int64())) for x in (self.items, self.counts, self.errors)]
+        return pa.record_batch([pa.array([col], pa.int32()), *lists, pa.array([self.rows])], schema=_SCHEMA)
 
 
 def frequent_items(df: DataFrame, columns: list[str], share: float, counters: int | None = None, scratch: Scratch | None = None) -> DataFrame:
-    """Items that hold at least ``share`` of a column's valid rows: ``col, item, count, rows``.
+    """Items that hold at least ``share`` of a column's valid rows: ``col, item, count, rows, estimate, error``.
+
+    ``count`` is exact, from the second pass; the summary's estimate lies between it and count + error.
 
     ``columns`` are integer columns; ``col`` is their position. Rows where a column is null or
     negative are not valid for it. The summary needs ``counters`` > 1 / share (default ten times
@@ -89,8 +99,8 @@ def frequent_items(df: DataFrame, columns: list[str], share: float, counters: in
 
     def merge(t: pa.Table) -> pa.Table:
         s = Summary(size)
-        for items, counts, missed, rows in zip(t.column("items").to_pylist(), t.column("counts").to_pylist(), t.column("missed").to_pylist(), t.column("rows").to_pylist()):
-            s.add(np.array(items, np.int64), np.array(counts, np.int64), missed, rows)
+        for items, counts, errors, rows in zip(*(t.column(c).to_pylist() for c in ("items", "counts", "errors", "rows"))):
+            s.merge(np.array(items, np.int64), np.array(counts, np.int64), np.array(errors, np.int64), min(counts) if len(items) >= size else 0, rows)
         return pa.Table.from_batches([s.batch(t.column("col")[0].as_py())])
 
     data = df.select(*[F.col(c).cast("long").alias(f"c{i}") for i, c in enumerate(columns)])
@@ -104,8 +114,8 @@ def frequent_items(df: DataFrame, columns: list[str], share: float, counters: in
         scratch.drop(level)
         level, n = new, groups
     # One summary per column: at most len(columns) * size candidates.
-    cand = level.select("col", "missed", "rows", F.explode(F.arrays_zip("items", "counts")).alias("x")).where((F.col("x.counts") + F.col("missed")) >= F.col("rows") * share).select("col", F.col("x.items").alias("item"), "rows")
-    cand = F.broadcast(scratch.write(cand))
+    cand = level.select("col", "rows", F.explode(F.arrays_zip("items", "counts", "errors")).alias("x")).where(F.col("x.counts") >= F.col("rows") * share)
+    cand = scratch.write(cand.select("col", F.col("x.items").alias("item"), F.col("x.counts").alias("estimate"), F.col("x.errors").alias("error"), "rows"))
     long = data.select(F.posexplode(F.array(*data.columns)).alias("col", "item"))
-    exact = long.join(cand, ["col", "item"]).groupBy("col", "item").agg(F.count(F.lit(1)).alias("count"), F.max("rows").alias("rows"))
+    exact = long.join(broadcast_if_small(cand), ["col", "item"]).groupBy("col", "item").agg(F.count(F.lit(1)).alias("count"), *[F.max(c).alias(c) for c in ("rows", "estimate", "error")])
     return exact.where(F.col("count") >= F.col("rows") * share)

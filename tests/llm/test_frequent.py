@@ -20,17 +20,30 @@ def test_counts_are_exact_and_none_is_lost(spark):
     assert got == want
 
 
-def test_summary_bounds():
+@pytest.mark.parametrize("parts", [1, 4])
+def test_counters_and_errors_bound_the_true_counts(parts):
     rng = np.random.default_rng(0)
-    s, true = Q.Summary(10), Counter()
-    for _ in range(30):
+    sums, true = [Q.Summary(10) for _ in range(parts)], Counter()
+    for k in range(30):
         x = np.minimum(rng.zipf(1.3, 200), 500)
         true.update(x.tolist())
-        s.add(*np.unique(x, return_counts=True))
-    assert len(s.items) <= 10 and s.missed <= s.rows / 11
-    held = dict(zip(s.items.tolist(), s.counts.tolist()))
+        sums[k % parts].add(*np.unique(x, return_counts=True))
+    s = sums[0]
+    for other in sums[1:]:
+        s.merge(other.items, other.counts, other.errors, other.floor, other.rows)
+    assert len(s.items) == 10 and s.rows == 6000
+    assert s.floor <= s.rows / 10 and s.errors.max() <= s.rows / 10 and s.counts.sum() <= s.rows
+    held = {i: (c, e) for i, c, e in zip(s.items.tolist(), s.counts.tolist(), s.errors.tolist())}
     for k, v in true.items():
-        assert held.get(k, 0) <= v <= held.get(k, 0) + s.missed
+        c, e = held.get(k, (s.floor, s.floor))
+        assert c - e <= v <= c
+
+
+def test_the_smallest_counter_is_replaced():
+    s = Q.Summary(2)
+    s.add(np.array([1, 2]), np.array([5, 3]))
+    s.add(np.array([7]), np.array([1]))
+    assert dict(zip(s.items.tolist(), zip(s.counts.tolist(), s.errors.tolist()))) == {1: (5, 0), 7: (4, 3)}
 
 
 def test_edges(spark):
@@ -39,4 +52,4 @@ def test_edges(spark):
     with pytest.raises(ValueError):
         Q.frequent_items(df, ["a"], 0.1, counters=5)
     one = spark.createDataFrame([(3,)] * 9, "a int")
-    assert [tuple(r) for r in Q.frequent_items(one, ["a"], 0.5).collect()] == [(0, 3, 9, 9)]
+    assert [tuple(r) for r in Q.frequent_items(one, ["a"], 0.5).collect()] == [(0, 3, 9, 9, 9, 0)]
