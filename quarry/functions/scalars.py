@@ -92,3 +92,8 @@ def from_ticks(t: Column) -> Column:
 def clipped_join(limit: int, *parts: Column) -> Column:
     """Parts joined by blanks, cut to a width."""
     return F.substring(F.concat_ws(" ", *parts), 1, limit)
+
+
+def per_second(count: Column, micros: Column) -> Column:
+    """Rate of a count over a time in microseconds (traversed edges per second); null for no time."""
+    return F.when(micros > 0, count * 1_000_000.0 / micros)

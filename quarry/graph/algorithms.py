@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from quarry.graph import components
 from quarry.graph.build import Graph, degrees
-from quarry.graph.superstep import iterate, superstep
-from quarry.session import Scratch
+from quarry.graph.superstep import Deltas, iterate, superstep
+from quarry.session import Scratch, broadcast_if_small
 
 
 def bfs(g: Graph, root: int) -> DataFrame:
@@ -16,16 +16,39 @@ def bfs(g: Graph, root: int) -> DataFrame:
 
     Of several parents one level up the smallest is taken.
     """
-    start = g.vertices.select("id", F.when(F.col("id") == root, F.lit(root)).cast("long").alias("parent"), F.when(F.col("id") == root, 0).alias("depth"), (F.col("id") == root).alias("active"))
+    done = bfs_many(g, [root]).select("id", "parent", "depth")
+    return g.vertices.join(done, "id", "left").select("id", F.coalesce("parent", F.lit(-1)).cast("long").alias("parent"), F.coalesce("depth", F.lit(-1)).cast("int").alias("depth"))
 
-    def step(cur: DataFrame, k: int) -> DataFrame:
-        got = superstep(cur.where("active").select("id"), g, lambda: {"p": F.col("src")}, lambda: {"p": F.min("p")})
-        j = cur.drop("active").join(got, "id", "left")
-        new = F.col("depth").isNull() & F.col("p").isNotNull()
-        return j.select("id", F.when(new, F.col("p")).otherwise(F.col("parent")).alias("parent"), F.when(new, k).otherwise(F.col("depth")).alias("depth"), new.alias("active"))
 
-    done = iterate(start, step, label="bfs")
-    return done.select("id", F.coalesce("parent", F.lit(-1)).cast("long").alias("parent"), F.coalesce("depth", F.lit(-1)).alias("depth"))
+def bfs_many(g: Graph, roots: list[int]) -> DataFrame:
+    """``root, id, parent, depth`` of the vertices that each of several roots reaches, searched at once.
+
+    A round writes the new frontier only. Roots that are no vertex reach nothing.
+    """
+    spark, deltas = g.spark, Deltas(g.spark, "bfs")
+    start = spark.createDataFrame([(r,) for r in dict.fromkeys(roots)], "root long").join(g.vertices.withColumnRenamed("id", "root"), "root", "left_semi")
+    key = lambda r, v: F.struct(F.col(r).alias("root"), F.col(v).alias("v"))
+    front, some = deltas.add(start.select(key("root", "root").alias("id"), F.struct(F.lit(0).alias("depth"), F.col("root").alias("parent")).alias("m")))
+    depth = 0
+    while some:
+        depth += 1
+        active = front.select("id.root", F.col("id.v").alias("src"))
+        sent = g.edges.join(broadcast_if_small(active), "src").groupBy("root", "dst").agg(F.min("src").alias("parent"))
+        new = sent.select(key("root", "dst").alias("id"), F.struct(F.lit(depth).alias("depth"), F.col("parent").alias("parent")).alias("m"))
+        front, some = deltas.add(new.join(deltas.state().select("id"), "id", "left_anti"))
+    if not deltas.tables:
+        return spark.createDataFrame([], "root long, id long, parent long, depth int")
+    return deltas.state().select("id.root", F.col("id.v").alias("id"), "m.parent", "m.depth")
+
+
+def search_summary(g: Graph, tree: DataFrame) -> DataFrame:
+    """Per root of ``bfs_many``: vertices reached, levels, and edges traversed (ends of undirected edges
+    count once), from which ``scalars.per_second`` makes the traversal rate."""
+    d = degrees(g)
+    half = 1 if g.directed else 2
+    loops = g.edges.where("src = dst").groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("loops"))
+    ends = F.col("out_degree") + (F.coalesce("loops", F.lit(0)) if not g.directed else F.lit(0))
+    return tree.join(d, "id").join(loops, "id", "left").groupBy("root").agg(F.count(F.lit(1)).alias("reached"), F.max("depth").alias("levels"), (F.sum(ends) / half).cast("long").alias("traversed"))
 
 
 def connected_components(g: Graph) -> DataFrame:
@@ -39,16 +62,15 @@ def sssp(g: Graph, root: int) -> DataFrame:
 
     Relaxes from the vertices that improved; of equal distances the smallest parent is taken.
     """
-    far = float("inf")
-    start = g.vertices.select("id", F.when(F.col("id") == root, 0.0).otherwise(far).alias("dist"), F.when(F.col("id") == root, root).otherwise(-1).cast("long").alias("parent"), (F.col("id") == root).alias("active"))
-
-    def step(cur: DataFrame, _: int) -> DataFrame:
-        got = superstep(cur.where("active").select("id", F.col("dist").alias("from")), g, lambda: {"m": F.struct((F.col("from") + F.col("weight")).alias("d"), F.col("src").alias("p"))}, lambda: {"m": F.min("m")})
-        j = cur.drop("active").join(got, "id", "left")
-        better = F.coalesce(F.col("m.d") < F.col("dist"), F.lit(False))
-        return j.select("id", F.when(better, F.col("m.d")).otherwise(F.col("dist")).alias("dist"), F.when(better, F.col("m.p")).otherwise(F.col("parent")).alias("parent"), better.alias("active"))
-
-    return iterate(start, step, label="sssp").select("id", "dist", "parent")
+    spark, deltas = g.spark, Deltas(g.spark, "sssp")
+    start = g.vertices.where(F.col("id") == root).select("id", F.struct(F.lit(0.0).alias("dist"), F.col("id").alias("parent")).alias("m"))
+    front, some = deltas.add(start)
+    while some:
+        sent = superstep(front.select("id", F.col("m.dist").alias("from")), g, lambda: {"m": F.struct((F.col("from") + F.col("weight")).alias("dist"), F.col("src").alias("parent"))}, lambda: {"m": F.min("m")})
+        known = deltas.state().select("id", F.col("m.dist").alias("known"))
+        front, some = deltas.add(sent.join(known, "id", "left").where(F.col("known").isNull() | (F.col("m.dist") < F.col("known"))).select("id", "m"))
+    done = deltas.state() if deltas.tables else start
+    return g.vertices.join(done, "id", "left").select("id", F.coalesce("m.dist", F.lit(float("inf"))).alias("dist"), F.coalesce("m.parent", F.lit(-1)).cast("long").alias("parent"))
 
 
 def pagerank(g: Graph, rounds: int = 10, damping: float = 0.85) -> DataFrame:

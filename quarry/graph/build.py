@@ -17,6 +17,12 @@ class Graph:
     edges: DataFrame
     vertices: DataFrame
     directed: bool
+    _edge_count: int | None = None
+
+    def edge_count(self) -> int:
+        if self._edge_count is None:
+            self._edge_count = self.edges.count()
+        return self._edge_count
 
     @property
     def spark(self):
@@ -28,7 +34,8 @@ def build(edges: DataFrame, directed: bool = False, weighted: bool = False, dens
 
     Undirected graphs hold both directions, a self-loop once. Unweighted graphs lose repeated edges,
     weighted ones keep parallel edges. With ``dense_ids`` every id below the largest is a vertex,
-    linked or not; else only ids that occur. ``keep`` writes the edges once, partitioned by source.
+    linked or not; else only ids that occur. ``keep`` writes the edges once, in ranges of
+    (source, target), so that a hub's edges are cut into even pieces.
     """
     w = F.col("weight").cast("double") if "weight" in edges.columns else F.lit(0.0)
     e = edges.where("src is not null and dst is not null").select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), w.alias("weight"))
@@ -37,10 +44,10 @@ def build(edges: DataFrame, directed: bool = False, weighted: bool = False, dens
     if not weighted:
         e = e.select("src", "dst", F.lit(0.0).alias("weight")).distinct()
     if keep:
-        e = Scratch(edges.sparkSession, "graph").write(e.repartition("src"))
+        e = Scratch(edges.sparkSession, "graph").write(e.repartitionByRange("src", "dst").sortWithinPartitions("src"))
     if dense_ids:
         top = e.agg(F.max(F.greatest("src", "dst"))).first()[0]
-        v = edges.sparkSession.range(0, -1 if top is None else top + 1)
+        v = edges.sparkSession.range(0, 0 if top is None else top + 1)
     else:
         v = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
     return Graph(e, v, directed)

@@ -1,8 +1,4 @@
-"""Array and graph queries on the edge table, and on the small graph of orders that some SQL states.
-
-The queries whose SQL fixes the graph of orders (``order_edges``) have a counterpart ``edge_*`` over
-the whole edge table; all others run on the edge table only.
-"""
+"""Array and graph queries; all graphs are made of the whole edge table."""
 
 from __future__ import annotations
 
@@ -14,18 +10,6 @@ from quarry.operators import arrays
 from quarry.session import load
 
 
-def order_edges(spark: SparkSession, d: str) -> DataFrame:
-    """Customers linked through urgent orders; the weight is the smallest order value of the pair, scaled."""
-    n = load(spark, d, "customer").count()
-    o = load(spark, d, "orders").where((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderkey") % 4 == 0))
-    e = o.select(F.col("o_custkey").alias("src"), ((F.col("o_orderkey") * 7919 + 13) % n).alias("dst"), "o_totalprice")
-    return e.groupBy("src", "dst").agg((F.floor(F.min("o_totalprice")) / 1024).alias("weight"))
-
-
-def _graph(spark: SparkSession, d: str, weighted: bool = False) -> build.Graph:
-    return build.build(order_edges(spark, d), weighted=weighted)
-
-
 def edge_rows(spark: SparkSession, d: str) -> DataFrame:
     """``src, dst`` of all rows of the edge table whose ends are both present and not negative."""
     return load(spark, d, "packed_edge").where("v0 >= 0 and v1 >= 0").select(F.col("v0").alias("src"), F.col("v1").alias("dst"))
@@ -55,26 +39,34 @@ def _root(g: build.Graph) -> int:
 
 
 def cc_labels(spark, d):
-    return algorithms.connected_components(_graph(spark, d))
+    """Component of every vertex of the edge table."""
+    return algorithms.connected_components(_edge_graph(spark, d))
 
 
 def bfs_depth(spark, d):
-    g = _graph(spark, d)
+    g = _edge_graph(spark, d)
     return algorithms.bfs(g, _root(g)).select("id", "depth")
 
 
 def bfs_parent(spark, d):
-    g = _graph(spark, d)
+    g = _edge_graph(spark, d)
     return algorithms.bfs(g, _root(g)).select("id", "parent")
 
 
+def bfs_roots(spark, d):
+    """Searches from the four vertices of highest degree at once: reach, levels and edges traversed."""
+    g = _edge_graph(spark, d)
+    roots = [r["id"] for r in build.degrees(g).orderBy(F.desc("out_degree"), "id").limit(4).collect()]
+    return algorithms.search_summary(g, algorithms.bfs_many(g, roots))
+
+
 def sssp_dist(spark, d):
-    g = _graph(spark, d, True)
+    g = _length_graph(spark, d)
     return algorithms.sssp(g, _root(g)).where("parent >= 0").select("id", F.round("dist", 6).alias("dist"))
 
 
 def pagerank_k10(spark, d):
-    return algorithms.pagerank(_graph(spark, d), 10).select("id", F.round("rank", 9).alias("rank"))
+    return algorithms.pagerank(_edge_graph(spark, d), 10).select("id", F.round("rank", 12).alias("rank"))
 
 
 def pagerank_single(spark, d):
@@ -84,22 +76,23 @@ def pagerank_single(spark, d):
 
 
 def degree_table(spark, d):
-    return build.degrees(_graph(spark, d))
+    return build.degrees(_edge_graph(spark, d))
 
 
 def graph_summary(spark, d):
-    return build.summary(_graph(spark, d))
+    return build.summary(_edge_graph(spark, d))
 
 
 def frontier_size(spark, d):
-    g = _graph(spark, d)
-    return build.frontier_size(g.vertices.where("id % 2 = 0"), build.degrees(g))
+    """Size of a frontier of all vertices."""
+    g = _edge_graph(spark, d)
+    return build.frontier_size(g.vertices, build.degrees(g))
 
 
 def validate_bfs(spark, d):
     g = _edge_graph(spark, d)
     r = _root(g)
-    return validate.check_bfs(g, algorithms.bfs(g, r), r).drop("traversed")
+    return validate.check_bfs(g, algorithms.bfs(g, r), r)
 
 
 def validate_cc(spark, d):
@@ -126,40 +119,6 @@ def edge_degrees(spark, d):
     return build.degrees(build.build(edge_rows(spark, d), keep=False)).select("id", "out_degree")
 
 
-def edge_labels(spark, d):
-    """Component of every vertex of the edge table."""
-    return algorithms.connected_components(_edge_graph(spark, d))
-
-
-def edge_depth(spark, d):
-    g = _edge_graph(spark, d)
-    return algorithms.bfs(g, _root(g)).select("id", "depth")
-
-
-def edge_parent(spark, d):
-    g = _edge_graph(spark, d)
-    return algorithms.bfs(g, _root(g)).select("id", "parent")
-
-
-def edge_dist(spark, d):
-    g = _length_graph(spark, d)
-    return algorithms.sssp(g, _root(g)).where("parent >= 0").select("id", F.round("dist", 6).alias("dist"))
-
-
-def edge_pagerank(spark, d):
-    return algorithms.pagerank(_edge_graph(spark, d), 10).select("id", F.round("rank", 12).alias("rank"))
-
-
-def edge_summary(spark, d):
-    return build.summary(_edge_graph(spark, d))
-
-
-def edge_frontier(spark, d):
-    """Size of a frontier of all vertices."""
-    g = _edge_graph(spark, d)
-    return build.frontier_size(g.vertices, build.degrees(g))
-
-
 def reduce_ops(spark, d):
     """All reductions over the nation keys."""
     a = load(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("value"))
@@ -185,11 +144,15 @@ def gups_xor(spark, d):
     return arrays.scatter_update(cells, u, "xor").select("idx", "value")
 
 
-_G = """g AS (
-  SELECT o_custkey AS src, (o_orderkey * 7919 + 13) % (SELECT count(*) FROM customer) AS dst, floor(min(o_totalprice)) / 1024 AS weight
-  FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderkey % 4 = 0 GROUP BY ALL),
-p AS (SELECT src, dst, weight FROM g UNION ALL SELECT dst, src, weight FROM g WHERE src <> dst),
-e AS (SELECT DISTINCT src, dst FROM p), v AS (SELECT src AS id FROM e UNION SELECT dst FROM e)"""
+_G = """e AS (
+  SELECT DISTINCT src, dst FROM (SELECT v0::BIGINT AS src, v1::BIGINT AS dst FROM packed_edge WHERE v0 >= 0 AND v1 >= 0
+  UNION ALL SELECT v1, v0 FROM packed_edge WHERE v0 >= 0 AND v1 >= 0)),
+v AS (SELECT DISTINCT src AS id FROM e)"""
+_LENGTHS = """one AS (
+  SELECT v0::BIGINT AS src, v1::BIGINT AS dst, data AS weight FROM (
+    SELECT *, row_number() OVER (PARTITION BY eid ORDER BY loaded_at DESC NULLS LAST, data DESC, v0 DESC, v1 DESC) AS rn
+    FROM packed_edge WHERE eid IS NOT NULL AND v0 >= 0 AND v1 >= 0 AND data >= 0 AND isfinite(data)) WHERE rn = 1),
+p AS (SELECT src, dst, min(weight) AS weight FROM (SELECT * FROM one UNION ALL SELECT dst, src, weight FROM one) GROUP BY ALL)"""
 _DEPTH = """b(id, depth) USING KEY (id) AS (
   SELECT min(id) AS id, 0 AS depth FROM v
   UNION
@@ -201,14 +164,12 @@ def _pagerank_sql(rounds: int) -> str:
     steps = [f"WITH {_G}, {_DEG}, n AS (SELECT count(*) AS n FROM v), r0 AS (SELECT id, 0.15::DOUBLE / n AS rank FROM v, n)"]
     for k in range(1, rounds + 1):
         steps.append(f"r{k} AS (SELECT v.id, 0.15::DOUBLE / n + 0.85::DOUBLE * coalesce(s, 0) AS rank FROM v CROSS JOIN n LEFT JOIN (SELECT e.dst, sum(r.rank / d.out_degree) AS s FROM e JOIN r{k - 1} r ON r.id = e.src JOIN deg d ON d.id = e.src GROUP BY e.dst) x ON x.dst = v.id)")
-    return ", ".join(steps) + f" SELECT id, round(rank, 9) AS rank FROM r{rounds}"
-
+    return ", ".join(steps) + f" SELECT id, round(rank, 12) AS rank FROM r{rounds}"
 
-_PAIR = "ed AS (SELECT DISTINCT src, dst FROM (SELECT v0::BIGINT AS src, v1::BIGINT AS dst FROM packed_edge WHERE v0 >= 0 AND v1 >= 0 UNION ALL SELECT v1, v0 FROM packed_edge WHERE v0 >= 0 AND v1 >= 0))"
 
 QUERIES = {
     f.__name__: f
-    for f in (cc_labels, bfs_depth, bfs_parent, sssp_dist, pagerank_k10, pagerank_single, degree_table, graph_summary, frontier_size, validate_bfs, validate_cc, validate_sssp, edge_components, edge_degrees, edge_labels, edge_depth, edge_parent, edge_dist, edge_pagerank, edge_summary, edge_frontier, reduce_ops, allreduce_max, array_fill_map, gups_xor)
+    for f in (cc_labels, bfs_depth, bfs_parent, sssp_dist, pagerank_k10, pagerank_single, degree_table, graph_summary, frontier_size, validate_bfs, validate_cc, validate_sssp, edge_components, edge_degrees, bfs_roots, reduce_ops, allreduce_max, array_fill_map, gups_xor)
 }
 
 SQL = {
@@ -220,26 +181,31 @@ SELECT id, component FROM c""",
     "bfs_depth": f"WITH RECURSIVE {_G}, {_DEPTH} SELECT v.id, coalesce(b.depth, -1)::INT AS depth FROM v LEFT JOIN b ON b.id = v.id",
     "bfs_parent": f"""WITH RECURSIVE {_G}, {_DEPTH}, up AS (SELECT e.dst AS id, min(e.src) AS parent FROM e JOIN b a ON a.id = e.src JOIN b c ON c.id = e.dst WHERE a.depth + 1 = c.depth GROUP BY e.dst)
 SELECT v.id, CASE WHEN b.depth = 0 THEN v.id ELSE coalesce(up.parent, -1) END AS parent FROM v LEFT JOIN b ON b.id = v.id LEFT JOIN up ON up.id = v.id""",
-    "sssp_dist": f"""WITH RECURSIVE {_G}, s(id, dist) USING KEY (id) AS (
-  SELECT min(id) AS id, 0.0::DOUBLE AS dist FROM v
+    "bfs_roots": f"""WITH RECURSIVE {_G}, {_DEG}, top AS (SELECT id FROM deg ORDER BY out_degree DESC, id LIMIT 4),
+b(root, id, depth) USING KEY (root, id) AS (
+  SELECT id AS root, id, 0 AS depth FROM top
+  UNION
+  SELECT b.root, e.dst AS id, min(b.depth) + 1 AS depth FROM b JOIN e ON e.src = b.id WHERE NOT EXISTS (SELECT 1 FROM recurring.b r WHERE r.root = b.root AND r.id = e.dst) GROUP BY b.root, e.dst)
+SELECT b.root, count(DISTINCT b.id) AS reached, max(b.depth)::INT AS levels, sum(CASE WHEN e.src <= e.dst THEN 1 ELSE 0 END)::BIGINT AS traversed FROM b JOIN e ON e.src = b.id GROUP BY b.root""",
+    "sssp_dist": f"""WITH RECURSIVE {_LENGTHS}, s(id, dist) USING KEY (id) AS (
+  SELECT min(src) AS id, 0.0::DOUBLE AS dist FROM p
   UNION
   SELECT p.dst AS id, min(s.dist + p.weight) AS dist FROM s JOIN p ON p.src = s.id LEFT JOIN recurring.s r ON r.id = p.dst WHERE s.dist + p.weight < coalesce(r.dist, 1e300) GROUP BY p.dst)
 SELECT id, round(dist, 6) AS dist FROM s""",
     "pagerank_k10": _pagerank_sql(10),
     "degree_table": f"WITH {_G}, {_DEG} SELECT id, out_degree, out_degree AS in_degree FROM deg",
     "graph_summary": f"WITH {_G}, {_DEG} SELECT count(*) AS vertices, sum(out_degree)::BIGINT AS edges, max(out_degree) AS max_degree, count(*) FILTER (out_degree = 0) AS isolated FROM deg",
-    "frontier_size": f"WITH {_G}, {_DEG} SELECT sum(2 * out_degree + 1)::BIGINT AS size FROM deg WHERE id % 2 = 0",
-    "validate_bfs": "SELECT 0::BIGINT AS bad_root, 0::BIGINT AS bad_level, 0::BIGINT AS half_reached, 0::BIGINT AS no_edge, 0::BIGINT AS bad_step",
+    "frontier_size": f"WITH {_G}, {_DEG} SELECT sum(2 * out_degree + 1)::BIGINT AS size FROM deg",
+    "validate_bfs": f"""WITH RECURSIVE {_G}, {_DEPTH}
+SELECT 0::BIGINT AS bad_root, 0::BIGINT AS bad_level, 0::BIGINT AS half_reached, 0::BIGINT AS no_edge, 0::BIGINT AS bad_step, count(*) AS traversed FROM e JOIN b ON b.id = e.src""",
     "validate_cc": "SELECT 0::BIGINT AS split_edges, 0::BIGINT AS bad_label",
     "validate_sssp": "SELECT 0::BIGINT AS bad_root, 0::BIGINT AS slack_edges, 0::BIGINT AS loose_links",
-    "edge_components": f"""WITH RECURSIVE {_PAIR}, c(id, component) USING KEY (id) AS (
-  SELECT id, id AS component FROM (SELECT DISTINCT src AS id FROM ed)
+    "edge_components": f"""WITH RECURSIVE {_G}, c(id, component) USING KEY (id) AS (
+  SELECT id, id AS component FROM v
   UNION
-  SELECT ed.dst AS id, min(c.component) AS component FROM c JOIN ed ON ed.src = c.id JOIN recurring.c r ON r.id = ed.dst WHERE c.component < r.component GROUP BY ed.dst)
+  SELECT e.dst AS id, min(c.component) AS component FROM c JOIN e ON e.src = c.id JOIN recurring.c r ON r.id = e.dst WHERE c.component < r.component GROUP BY e.dst)
 SELECT component, count(*) AS vertices FROM c GROUP BY component""",
-    "edge_degrees": f"WITH {_PAIR} SELECT src AS id, count(*) AS out_degree FROM ed GROUP BY src",
-    "edge_summary": f"WITH {_PAIR}, deg AS (SELECT src, count(*) AS n FROM ed GROUP BY src) SELECT count(*) AS vertices, sum(n)::BIGINT AS edges, max(n) AS max_degree, 0::BIGINT AS isolated FROM deg",
-    "edge_frontier": f"WITH {_PAIR} SELECT (2 * count(*) + count(DISTINCT src))::BIGINT AS size FROM ed",
+    "edge_degrees": f"WITH {_G} SELECT src AS id, count(*) AS out_degree FROM e GROUP BY src",
     "reduce_ops": """SELECT sum(k)::BIGINT AS r_add, sum(k)::BIGINT AS r_sum, max(k) AS r_max, min(k) AS r_min, product(k) FILTER (k BETWEEN 1 AND 8) AS r_prod, product(k) FILTER (k BETWEEN 1 AND 8) AS r_mult,
   bit_or(k) AS "r_or", bit_or(k) AS r_bor, bool_or(k <> 0)::BIGINT AS r_lor, bit_and(k) AS "r_and", bit_and(k) AS r_band, bool_and(k <> 0)::BIGINT AS r_land, bit_xor(k) AS r_xor, bit_xor(k) AS r_bxor, bit_xor((k <> 0)::BIGINT) AS r_lxor
 FROM (SELECT n_nationkey::BIGINT AS k FROM nation)""",

@@ -2,7 +2,9 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from quarry.graph import algorithms, build, validate
+from pyspark.sql import functions as F
+
+from quarry.graph import algorithms, build, superstep, validate
 from quarry.graph.components import connected_components
 from quarry.sources import files, generators, kronecker
 
@@ -29,6 +31,51 @@ def test_bfs_and_sssp(spark):
     assert s[3] == 4.0 and s[5] == float("inf")
 
 
+def test_many_roots_and_their_edges(spark):
+    g = graph(spark, LINE)
+    tree = algorithms.bfs_many(g, [0, 5, 77])
+    assert {(r["root"], r["id"]): r["depth"] for r in tree.collect()} == {(0, 0): 0, (0, 1): 1, (0, 3): 1, (0, 2): 2, (5, 5): 0, (5, 6): 1}
+    got = {r["root"]: (r["reached"], r["levels"], r["traversed"]) for r in algorithms.search_summary(g, tree).collect()}
+    assert got == {0: (4, 2, 5), 5: (2, 1, 1)}
+    assert algorithms.bfs_many(g, [77]).count() == 0
+
+
+@pytest.mark.parametrize("mode", ["push", "pull", "auto"])
+def test_modes_of_a_super_step_agree(spark, mode):
+    g = graph(spark, LINE)
+    active = spark.createDataFrame([(0,), (3,)], "id long")
+    free = spark.createDataFrame([(1, True), (2, True), (3, False)], "id long, open boolean")
+    got = superstep.superstep(active, g, lambda: {"p": F.col("src")}, lambda: {"p": F.min("p")}, free, lambda: F.col("open"), mode, active_edges=5)
+    assert {r["id"]: r["p"] for r in got.collect()} == {1: 0, 2: 3}
+    with pytest.raises(ValueError):
+        superstep.superstep(active, g, dict, dict, mode="other")
+
+
+def test_states_of_many_rounds_are_folded(spark):
+    g = graph(spark, [(k, k + 1, 1) for k in range(30)])
+    assert algorithms.bfs(g, 0).agg({"depth": "max"}).first()[0] == 30
+
+
+def test_search_roots_have_edges_and_repeat(spark):
+    g = graph(spark, LINE, dense_ids=True)
+    a = [r["id"] for r in algorithms.search_roots(g, 4, seed=3).collect()]
+    assert a == [r["id"] for r in algorithms.search_roots(g, 4, seed=3).collect()] and len(set(a)) == 4 and 4 not in a
+
+
+def test_shrinking_keeps_components(spark):
+    df = spark.range(3000).selectExpr("id % 700 as src", "case when id % 3 = 0 then 0 else (id * 7) % 700 end as dst")
+    want = {}
+    for r in df.collect():
+        want.setdefault(r["src"], set()).add(r["dst"])
+    low = {v: v for k, x in want.items() for v in (k, *x)}
+    for _ in range(20):
+        for k, x in want.items():
+            m = min(low[v] for v in (k, *x))
+            for v in (k, *x):
+                low[v] = m
+    assert {r["id"]: r["component"] for r in connected_components(df.repartition(7)).collect()} == low
+
+
 def test_validators_find_faults(spark):
     g = graph(spark, LINE, weighted=True)
     tree = algorithms.bfs(g, 0)
