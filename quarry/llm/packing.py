@@ -1,16 +1,17 @@
 """Filling containers of fixed capacity with documents.
 
 Items are packed best-fit decreasing inside partitions. A dual-feasible-function lower bound
-certifies each partition: if it used no more bins than the bound (taken over all partitions that
-are still open), nothing can be gained there. Partitions with a gap give up the items of their
-badly filled bins, exchange them in ever larger groups and are packed again; what a round cannot
-improve stays as it is. Items above the capacity are cut into full containers and a remainder.
+certifies each partition: if it used no more bins than the bound over its own items, nothing can be
+gained there. Partitions with a gap give up the items of their badly filled bins, exchange them in
+ever larger groups and are packed again; what a round cannot improve stays as it is. Items above
+the capacity are cut into full containers and a remainder. ``certificate`` holds the whole packing
+against the bound over all pieces, whose sizes it counts (capacity kinds of size at most).
 """
 
 from __future__ import annotations
 
 import base64
-import math
+import os
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 
 from quarry.session import Scratch
 
-TOKENIZER_FOLDER = "/opt/tokenizers"
+#: Folder of the vocabulary files; ``token_counts`` also takes a path.
+TOKENIZER_FOLDER = os.environ.get("QUARRY_TOKENIZERS", "/opt/tokenizers")
 #: Items that one task packs at most in one round.
 ITEMS_PER_TASK = 50_000
 #: Exchanges after which open bins are closed as they are, in all partitions that are left.
@@ -86,16 +88,17 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
-def dff_bound(sizes: np.ndarray, capacity: int) -> int:
+def dff_bound(sizes: np.ndarray, capacity: int, counts: np.ndarray | None = None) -> int:
     """Lower bound on the bins: the best of two families of dual feasible functions.
 
     u_k(x) keeps multiples of 1/(k+1) and rounds the rest by k; the threshold family drops items
     below e and lifts items above 1 - e to a whole bin. A dual feasible function maps any set that
-    fits one bin to a sum of at most 1, so the mapped total is a valid bound.
+    fits one bin to a sum of at most 1, so the mapped total is a valid bound. With ``counts`` the
+    sizes are distinct and occur that often.
     """
     if not len(sizes):
         return 0
-    values, counts = np.unique(sizes, return_counts=True)
+    values, counts = np.unique(sizes, return_counts=True) if counts is None else (sizes, counts)
     total = int((values * counts).sum())
     best = -(-total // capacity)
     for k in range(1, 13):
@@ -202,6 +205,10 @@ def cut_items(packed: DataFrame) -> DataFrame:
 
 
 def certificate(packed: DataFrame, capacity: int) -> tuple[int, int]:
-    """Containers used and the volume bound over the whole input."""
-    r = packed.agg(F.countDistinct("container").alias("n"), F.sum("size").alias("s")).first()
-    return r["n"], math.ceil((r["s"] or 0) / capacity)
+    """Containers used and the dual-feasible bound over the whole input.
+
+    What comes to the driver is the number of pieces per size, ``capacity`` rows at most.
+    """
+    n = packed.agg(F.countDistinct("container").alias("n")).first()["n"]
+    t = packed.groupBy("size").agg(F.count(F.lit(1)).alias("k")).orderBy("size").toArrow()
+    return n, dff_bound(t.column("size").to_numpy(), capacity, t.column("k").to_numpy())

@@ -75,6 +75,21 @@ def p6_containers(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+def p6_certificate(spark: SparkSession, d: str) -> DataFrame:
+    """Per specification the containers used, the lower bound, and what would break a packing: containers
+    above the capacity and documents whose pieces do not add up."""
+    scratch = Scratch(spark, "packing")
+    sizes = scratch.write(packing.token_counts(load(spark, d, "documents"), "doc_id", "text"))
+    rows = []
+    for spec, capacity in load(spark, d, "container_spec").where("spec_id is not null and capacity_tokens > 0").select("spec_id", "capacity_tokens").distinct().orderBy("spec_id").collect():
+        packed = scratch.write(packing.pack(sizes, capacity))
+        used, bound = packing.certificate(packed, capacity)
+        over = packing.containers(packed, capacity).where("unused < 0").count()
+        lost = sizes.where("size > 0").join(packed.groupBy("id").agg(F.sum("size").alias("held")), "id", "full").where(~F.col("size").eqNullSafe(F.col("held"))).count()
+        rows.append((spec, used, bound, over, lost))
+    return spark.createDataFrame(rows, "spec_id int, containers long, bound long, overfull long, incomplete long")
+
+
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_passages(load(spark, d, "documents"), load(spark, d, "eval_item"), "doc_id", "text", "item_id", ["prompt", "answer"], 12)
 
@@ -107,18 +122,39 @@ _PAIRS = """pts AS (SELECT DISTINCT pid, coord::DOUBLE[128] AS c FROM (
   WHERE len(ok) = 128 AND len(list_filter(ok, lambda x: x <> 0)) > 0),
 near AS (SELECT a.pid AS a, b.pid AS b, array_distance(a.c, b.c) AS dist FROM pts a JOIN pts b ON a.pid <> b.pid WHERE array_distance(a.c, b.c) <= 0.75)"""
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_counts": p3_counts, "p4_found": p4_found, "p4_clusters": p4_clusters, "p6_found": p6_found, "p6_containers": p6_containers, "p7_found": p7_found, "p7_passages": p7_passages, "p8_found": p8_found, "p8_reasons": p8_reasons}
+_CLUSTERS = """cc(pid, low) USING KEY (pid) AS (
+  SELECT pid, pid AS low FROM pts
+  UNION
+  SELECT n.a AS pid, min(c.low) AS low FROM cc c JOIN near n ON n.b = c.pid JOIN recurring.cc r ON r.pid = n.a WHERE c.low < r.low GROUP BY n.a)"""
+
+_WIDE = "".join(chr(0xFEE0 + c) for c in range(0x21, 0x7F))
+#: Folded documents, and the word runs and windows of the items: every leak holds an aligned run of six words.
+_LEAKS = f"""d AS (SELECT doc_id, regexp_replace(lower(translate(regexp_replace(regexp_replace(regexp_replace(text,
+    '&(amp;)?(nbsp|quot|lt|gt|amp|apos|#39|#160|#x27|#xa0|shy|#173|zwj|#8203|#34|#60|#62|#38);', ' ', 'gi'), '<!--.*?-->', ' ', 'gs'), '</?[a-zA-Z][^<>]*>', '', 'g'),
+    '{_WIDE.replace("'", "''")}', '{"".join(chr(c) for c in range(0x21, 0x7F)).replace("'", "''")}')), '[^a-z0-9]+', '', 'g') AS t FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, f, list_filter(string_split_regex(lower(t), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM (SELECT item_id, 'prompt' AS f, prompt AS t FROM eval_item UNION ALL SELECT item_id, 'answer', answer FROM eval_item)),
+runs AS (SELECT item_id, f, array_to_string(w[k : k + 5], '') AS run FROM (SELECT *, unnest(range(1, len(w) - 4, 6)) AS k FROM i WHERE len(w) >= 12)),
+wins AS (SELECT item_id, f, array_to_string(w[k : k + 11], '') AS win FROM (SELECT *, unnest(range(1, len(w) - 10)) AS k FROM i WHERE len(w) >= 12)),
+cand AS (SELECT DISTINCT doc_id, item_id, f FROM d JOIN runs ON contains(d.t, run))"""
+
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_counts": p3_counts, "p4_found": p4_found, "p4_clusters": p4_clusters, "p6_found": p6_found, "p6_containers": p6_containers, "p6_certificate": p6_certificate, "p7_found": p7_found, "p7_passages": p7_passages, "p8_found": p8_found, "p8_reasons": p8_reasons}
 
 SQL = {
     "p1_found": f"""WITH {_PAIRS}, r AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY dist, b) AS rn FROM near)
 SELECT DISTINCT least(a, b) AS pid_a, greatest(a, b) AS pid_b FROM r WHERE rn <= 5""",
     "p3_found": f"WITH {_EDGES} SELECT endpoint, vertex FROM c JOIN t USING (endpoint) WHERE n >= 0.002 * total",
     "p3_counts": f"WITH {_EDGES} SELECT endpoint, vertex, n AS count FROM c JOIN t USING (endpoint) WHERE n >= 0.0001 * total",
-    "p4_found": f"""WITH RECURSIVE {_PAIRS},
-cc(pid, low) USING KEY (pid) AS (
-  SELECT pid, pid AS low FROM pts
-  UNION
-  SELECT n.a AS pid, min(c.low) AS low FROM cc c JOIN near n ON n.b = c.pid JOIN recurring.cc r ON r.pid = n.a WHERE c.low < r.low GROUP BY n.a),
+    "p4_found": f"""WITH RECURSIVE {_PAIRS}, {_CLUSTERS},
 s AS (SELECT low, count(*) AS n FROM cc GROUP BY low)
 SELECT cc.low AS cluster_pid, cc.pid FROM cc JOIN s USING (low) WHERE s.n >= 3""",
+    "p4_clusters": f"""WITH RECURSIVE {_PAIRS}, {_CLUSTERS},
+w AS (SELECT pid, w FROM (SELECT pid, CASE WHEN weight > 0 AND isfinite(weight) THEN weight::DOUBLE END AS w,
+  row_number() OVER (PARTITION BY pid ORDER BY read_at DESC NULLS LAST, w DESC NULLS LAST) AS rn FROM points WHERE pid IS NOT NULL) WHERE rn = 1),
+dens AS (SELECT cc.pid, cc.low, count(n.b) AS density FROM cc LEFT JOIN near n ON n.a = cc.pid GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY low ORDER BY density DESC, pid) AS rn FROM dens)
+SELECT r.low AS cluster_pid, count(*) AS size, round(sum(w.w), 3) AS total_weight, string_agg(r.pid::VARCHAR, ',' ORDER BY rn) FILTER (rn <= 3) AS typical
+FROM r JOIN w USING (pid) GROUP BY r.low HAVING count(*) >= 3""",
+    "p7_found": f"""WITH {_LEAKS} SELECT DISTINCT doc_id, item_id FROM cand JOIN wins USING (item_id, f) JOIN d USING (doc_id) WHERE contains(d.t, win)""",
+    "p6_found": """SELECT doc_id FROM documents
+WHERE len(regexp_extract_all(text, '[A-Za-z]+|[0-9]{1,3}|[^A-Za-z0-9 ]')) > (SELECT capacity_tokens FROM container_spec WHERE spec_id = 1)""",
 }
