@@ -107,3 +107,19 @@ def consume_lots(lots: DataFrame, needs: DataFrame, keys: list[str], order: list
     before = F.coalesce(F.sum(quantity).over(w), F.lit(0))
     taken = F.least(F.col(quantity), F.greatest(F.col(need) - before, F.lit(0)))
     return joined.withColumn("taken", taken)
+
+
+def first_crossing(requests: DataFrame, ticks: DataFrame, key: str, limit: str, price: str, seq: str, rising: bool) -> DataFrame:
+    """Adds ``hit``: the smallest ``seq`` of the key whose price has reached the limit (null if none).
+
+    With ``rising`` a price of at least the limit counts, else one of at most the limit. Ticks are
+    combined per price before the shuffle; then prices and limits are walked once in order with a
+    running minimum, so a key with many ticks and many requests makes no pairs. Null prices and
+    limits reach nothing.
+    """
+    first = ticks.where(F.col(price).isNotNull()).groupBy(key, F.col(price).alias("__x")).agg(F.min(seq).alias("__s"))
+    asked = requests.withColumn("__x", F.col(limit))
+    both = asked.withColumn("__s", F.lit(None).cast(first.schema["__s"].dataType)).withColumn("__q", F.lit(1)).unionByName(first.withColumn("__q", F.lit(0)), allowMissingColumns=True)
+    order = [F.desc_nulls_last("__x") if rising else F.asc_nulls_last("__x"), F.asc("__q")]
+    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return both.withColumn("hit", F.when(F.col("__x").isNotNull(), F.min("__s").over(w))).where("__q = 1").select(*requests.columns, "hit")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -12,7 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from quarry.functions import scalars
 
 
-def feeds_of(ticks: DataFrame, size: int = 20, order: str = "seq", lanes: int = 1) -> DataFrame:
+def feeds_of(ticks: DataFrame, size: int = 20, order: str = "seq", lanes: int = 8) -> DataFrame:
     """Every ``size`` ticks in order form one feed: adds ``feed`` and ``place``; the last may be short.
 
     With several lanes (a hash of the symbol) each lane counts for itself, so that no task sees
@@ -55,13 +57,36 @@ def book_triggers(orders: DataFrame, quotes: DataFrame) -> DataFrame:
     """Orders with the first quote at or after their arrival that puts them in the money: ``at`` (null: still waiting).
 
     ``orders(order_id, symbol, kind, limit, ts)``, ``quotes(symbol, price, ts)``. Buys and stops fire at
-    price <= limit, sells at price >= limit. The join keys on the symbol and the outcome of the price
-    test; minima combine map-side.
+    price <= limit, sells at price >= limit. Each symbol's events run once in time order through a
+    book of two heaps, so no pairs are made and a task holds the open orders of one symbol. Orders
+    and quotes of one time: orders come first. Null limits and prices never fire.
     """
-    q = quotes.select("symbol", "price", F.col("ts").alias("q_ts"))
-    hit = orders.join(q, "symbol").where((F.col("q_ts") >= F.col("ts")) & F.when(F.col("kind") == "sell", F.col("price") >= F.col("limit")).otherwise(F.col("price") <= F.col("limit")))
-    first = hit.groupBy("order_id").agg(F.min("q_ts").alias("at"))
-    return orders.join(first, "order_id", "left")
+    kind = F.when(F.col("kind") == "sell", 1).otherwise(0)
+    events = orders.select("symbol", F.col("ts").cast("double").alias("t"), F.lit(0).alias("quote"), kind.alias("sell"), F.col("limit").cast("double").alias("x"), "order_id", F.lit(None).cast(quotes.schema["ts"].dataType).alias("at"))
+    events = events.unionByName(quotes.select("symbol", F.col("ts").cast("double").alias("t"), F.lit(1).alias("quote"), F.lit(0).alias("sell"), F.col("price").cast("double").alias("x"), F.lit(None).cast(orders.schema["order_id"].dataType).alias("order_id"), F.col("ts").alias("at")))
+    fired = events.where("symbol is not null and t is not null and x is not null").repartition("symbol").sortWithinPartitions("symbol", "t", "quote")
+    hit = fired.mapInArrow(_run_book, f"order_id {orders.schema['order_id'].dataType.simpleString()}, at {quotes.schema['ts'].dataType.simpleString()}")
+    return orders.join(hit, "order_id", "left")
+
+
+def _run_book(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    symbol, books = None, ([], [])
+    for b in batches:
+        ids, at = [], []
+        rows = zip(*(b.column(c).to_pylist() for c in ("symbol", "quote", "sell", "x", "order_id", "at")))
+        for s, quote, sell, x, order, when in rows:
+            if s != symbol:
+                symbol, books = s, ([], [])
+            if not quote:
+                # buys wait with the highest limit on top, sells with the lowest
+                heapq.heappush(books[sell], (x if sell else -x, order))
+                continue
+            for side in (0, 1):
+                while books[side] and books[side][0][0] <= (x if side else -x):
+                    ids.append(heapq.heappop(books[side])[1])
+                    at.append(when)
+        if ids:
+            yield pa.record_batch([pa.array(ids, b.schema.field("order_id").type), pa.array(at, b.schema.field("at").type)], names=["order_id", "at"])
 
 
 def due_results(trades: DataFrame, mean_delay: float, cap: float, seed: int = 1) -> DataFrame:

@@ -1,6 +1,9 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from quarry import schemas
 from quarry.plans import batches as B
 from quarry.sources import generators
 from quarry.streaming import feeds
@@ -55,15 +58,93 @@ def test_feed_and_lots(spark):
     r = after["last_trade"].where("lt_s_symb = 'S00001'").first()
     assert (r["lt_price"], r["lt_vol"], r["lt_dts"]) == (99.0, 10, 2)
     gone = s["trade_request"].count() - after["trade_request"].count()
-    assert gone == s["trade_request"].where("tr_s_symb = 'S00001' and tr_tt_id = 'TLS'").count()
+    # the first tick is below every bid, the second above: each kind finds one that sets it off
+    assert gone == s["trade_request"].where("tr_s_symb = 'S00001'").count() > 0
     h = s["holding_summary"].orderBy("hs_ca_id", "hs_s_symb").first()
     sales = spark.createDataFrame([(h["hs_ca_id"], h["hs_s_symb"], h["hs_qty"], 50.0)], "ca_id long, symbol string, quantity int, price double")
-    sold = B.sell_lots(s, sales)
+    trades = sales.selectExpr("99999L as t_id", "ca_id", "symbol", "quantity", "true as is_sell", "price", "false as lifo", "5L as dts")
+    sold = B.settle_lots(s, trades)
     assert sold["holding"].where(f"h_ca_id = {h['hs_ca_id']} and h_s_symb = '{h['hs_s_symb']}'").count() == 0
     assert sold["realised"].first()["sell_value"] == 50.0 * h["hs_qty"]
     assert sold["holding"].count() + sold["holding_history"].count() == s["holding"].count()
 
 
+def lots_one_by_one(lots, trades):
+    """Signed lots {key: [(dts, id, price, qty)]} after trades in order; and (buy, sell) per trade."""
+    lots = {k: list(v) for k, v in lots.items()}
+    values, touched = {}, []
+    for t, ca, sym, q, sell, price, lifo, dts in sorted(trades):
+        mine, buy, sold = sorted(lots.get((ca, sym), []), reverse=lifo), 0.0, 0.0
+        kept = []
+        for d, i, p, n in mine:
+            take = min(q, abs(n)) if (n > 0) == sell and q else 0
+            if take:
+                q -= take
+                buy, sold = (buy + take * p, sold + take * price) if sell else (buy + take * price, sold + take * p)
+                left = n - take if sell else n + take
+                touched.append((i, t, n, left))
+                n = left
+            if n:
+                kept.append((d, i, p, n))
+        if q:
+            kept.append((dts, t, price, -q if sell else q))
+            touched.append((t, t, 0, -q if sell else q))
+        lots[ca, sym] = kept
+        values[t] = buy, sold
+    return {k: sorted(v) for k, v in lots.items() if v}, values, sorted(touched)
+
+
+def test_signed_lots_in_several_rounds(spark):
+    rng = random.Random(6)
+    lots = {(ca, sym): [(k, 100 * ca + 10 * (sym == "B") + k, float(rng.randrange(5, 20)), rng.choice([-1, 1][ca % 2 :] or [1]) * rng.randrange(1, 9)) for k in range(4)] for ca in (1, 2) for sym in "AB"}
+    lots[1, "A"] = [(d, i, p, -abs(n)) for d, i, p, n in lots[1, "A"]]
+    lots[2, "B"] = [(d, i, p, abs(n)) for d, i, p, n in lots[2, "B"]]
+    lots = {k: [(d, i, p, abs(n) if v[0][3] > 0 else -abs(n)) for d, i, p, n in v] for k, v in lots.items()}
+    trades = [(1000 + k, rng.choice([1, 2, 3]), rng.choice("AB"), rng.randrange(1, 25), rng.random() < 0.5, float(rng.randrange(5, 20)), rng.random() < 0.5, 50 + k) for k in range(12)]
+    rows = [(ca, s, d, i, p, n) for (ca, s), v in lots.items() for d, i, p, n in v]
+    h = spark.createDataFrame(rows, schemas.BROKERAGE["holding"])
+    hs = h.groupBy(F.col("h_ca_id").alias("hs_ca_id"), F.col("h_s_symb").alias("hs_s_symb")).agg(F.sum("h_qty").cast("int").alias("hs_qty"))
+    old = spark.createDataFrame([(1, 2, 3, 4)], "hh_h_t_id long, hh_t_id long, hh_before_qty int, hh_after_qty int")
+    t = spark.createDataFrame(trades, "t_id long, ca_id long, symbol string, quantity int, is_sell boolean, price double, lifo boolean, dts long")
+    after = B.settle_lots({"holding": h, "holding_summary": hs, "holding_history": old}, t)
+    want, values, touched = lots_one_by_one(lots, trades)
+    got = {}
+    for r in after["holding"].collect():
+        got.setdefault((r["h_ca_id"], r["h_s_symb"]), []).append((r["h_dts"], r["h_t_id"], r["h_price"], r["h_qty"]))
+    assert {k: sorted(v) for k, v in got.items()} == want
+    assert {r["t_id"]: (r["buy_value"], r["sell_value"]) for r in after["realised"].collect()} == values
+    assert sorted(map(tuple, after["holding_history"].collect())) == sorted([(1, 2, 3, 4), *touched])
+    assert {(r["hs_ca_id"], r["hs_s_symb"]): r["hs_qty"] for r in after["holding_summary"].collect()} == {k: q for k, v in want.items() if (q := sum(x[3] for x in v))}
+
+
+def test_every_tick_can_set_off_a_request(spark):
+    s = {k: spark.createDataFrame([], schemas.BROKERAGE[k]) for k in ("trade", "trade_history", "last_trade")}
+    s["trade"] = spark.createDataFrame([(i, 0, "PNDG", k, True, "A", 1, b, 1, "x", 0.0, 0.0, 0.0, 0.0, False) for i, k, b in ((1, "TLB", 5.0), (2, "TLS", 9.0), (3, "TSL", 1.0), (4, "TLB", 7.0))], schemas.BROKERAGE["trade"])
+    s["trade_request"] = s["trade"].selectExpr("t_s_symb as tr_s_symb", "1L as tr_b_id", "t_id as tr_t_id", "t_tt_id as tr_tt_id", "t_qty as tr_qty", "t_bid_price as tr_bid_price")
+    ticks = spark.createDataFrame([(1, "A", 7.0, 1), (2, "A", 4.0, 1), (3, "A", 9.5, 1), (4, "A", 8.0, 1), (5, "B", 0.5, 1), (6, None, 0.5, 1)], "seq long, symbol string, price double, quantity int")
+    after = B.market_feed(s, ticks)
+    assert {r["th_t_id"]: r["th_dts"] for r in after["trade_history"].collect()} == {1: 2, 2: 3, 4: 1}
+    assert [r["tr_t_id"] for r in after["trade_request"].collect()] == [3]
+
+
+def test_orders_and_results(spark):
+    s = generators.brokerage(spark, 10, 5, 50)
+    s["commission_rate"] = spark.createDataFrame([(1, "TMS", x, 1, 1000, 2.0) for x in ("NYSE", "NASDAQ", "AMEX", "PCX")], schemas.BROKERAGE["commission_rate"])
+    o = spark.createDataFrame([(900, 3, "S00001", "TMS", True, 100, 0.0, 1, False, "me", 7), (901, 3, "S00001", "TLB", False, 50, 12.5, 1, False, "me", 8), (902, 3, "NONE", "TMS", True, 1, 0.0, 1, False, "me", 9)], "t_id long, ca_id long, symbol string, tt_id string, is_market boolean, quantity int, bid double, tier int, lifo boolean, exec_name string, dts long")
+    a = B.trade_orders(s, o)
+    price = s["last_trade"].where("lt_s_symb = 'S00001'").first()["lt_price"]
+    t = {r["t_id"]: r for r in a["trade"].where("t_id >= 900").collect()}
+    assert set(t) == {900, 901} and t[900]["t_bid_price"] == price and t[900]["t_comm"] == pytest.approx(2 * price) and t[901]["t_st_id"] == "PNDG"
+    assert [r["tr_t_id"] for r in a["trade_request"].where("tr_t_id >= 900").collect()] == [901]
+    r = B.trade_results(a, spark.createDataFrame([(900, 20.0, True, 11), (12345, 1.0, True, 1)], "t_id long, price double, is_sell boolean, dts long"))
+    row = r["trade"].where("t_id = 900").first()
+    assert (row["t_st_id"], row["t_dts"], row["t_trade_price"]) == ("CMPT", 11, 20.0)
+    account = lambda x: x["customer_account"].where("ca_id = 3").first()
+    assert account(r)["ca_bal"] == pytest.approx(account(s)["ca_bal"] + 2000 - 2 * price)
+    assert r["broker"].where(f"b_id = {account(s)['ca_b_id']}").first()["b_num_trades"] == 1
+    assert r["settlement"].count() == 1 and r["trade_history"].where("th_t_id = 900").count() == 2
+
+
 def test_rename_and_rmw(spark):
     s = generators.brokerage(spark, 5, 5, 20)
     ids = spark.createDataFrame([(1,), (1,)], "t_id long")
@@ -75,6 +156,13 @@ def test_rename_and_rmw(spark):
     assert out == {0: "a" * 8, 1: "a" * 8 + "2", 2: "a" * 8, 3: "a" * 8}
 
 
+def test_replay_keeps_the_order_of_the_log(spark):
+    log = spark.createDataFrame([(k, kind) for k, kind in enumerate("aabbbaab")] + [(None, "a"), (3, None)], "txn_id long, kind string").repartition(3)
+    seen = []
+    B.replay({}, log, lambda kind, st, rows: seen.append((kind, sorted(r["txn_id"] for r in rows.collect()))) or st)
+    assert seen == [("a", [0, 1]), ("b", [2, 3, 4]), ("a", [5, 6]), ("b", [7])]
+
+
 def test_replay(spark, store):
     log = spark.createDataFrame([(1, "pay", 1, 1, 3, 10.0), (2, "pay", 1, 2, 4, 20.0)], "txn_id long, kind string, w_id int, d_id int, c_id int, amount double").withColumn("c_last", F.lit(None).cast("string"))
     after = B.replay(store, log, lambda kind, st, rows: B.payments(st, rows))
@@ -83,7 +171,7 @@ def test_replay(spark, store):
 
 def test_batch_feeds(spark):
     t = spark.createDataFrame([(i, f"S{i % 3}") for i in range(45)], "seq long, symbol string")
-    f = feeds.feeds_of(t)
+    f = feeds.feeds_of(t, lanes=1)
     assert {r["feed"]: r["count"] for r in f.groupBy("feed").count().collect()} == {0: 20, 1: 20, 2: 5}
     trig = spark.createDataFrame([(0, 1, "T")], "feed long, seq long, symbol string")
     amb = spark.createDataFrame([(0, i, "A") for i in range(30)], "feed long, seq long, symbol string")

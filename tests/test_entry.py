@@ -6,14 +6,14 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as entry
-from quarry.plans import graphs, models, problems, reads
+from quarry.plans import batches, graphs, models, problems, reads
 
 _spec = importlib.util.spec_from_file_location("compare", Path(__file__).resolve().parents[1] / "tools" / "compare.py")
 compare = importlib.util.module_from_spec(_spec)
 _spec.loader.exec_module(compare)
 
-CORE = {k: v for m in (problems, graphs, reads, models) for k, v in m.QUERIES.items()}
-SQL = {k: v for m in (problems, graphs, reads, models) for k, v in m.SQL.items()}
+CORE = {k: v for m in (problems, graphs, reads, models, batches) for k, v in m.QUERIES.items()}
+SQL = {k: v for m in (problems, graphs, reads, models, batches) for k, v in m.SQL.items()}
 
 
 @pytest.fixture(scope="module")
