@@ -1,29 +1,39 @@
 """Epochs of user functions over row blocks.
 
-Rows are packed once into blocks of binary matrices, so an epoch moves memory between the JVM and
-Python without touching single values. A registered function sees one block and the model:
+Rows are packed once into files of plain matrices in the shared folder, one per task. An epoch sends
+tasks the names of their files, never the rows: a worker maps a file into memory, where it stays in
+the system's cache from epoch to epoch. (Where the shared folder is no file system that Python can
+open, blocks are kept in Spark's storage instead.) A registered function sees a piece of a file and
+the model:
 
 * a *row* function ``f(X, y, w) -> (loss sum, gradient or None)``; gradients are summed over all
   tasks (mini-batch form, the reproducible counterpart of a shared model);
 * an *update* function ``f(X, y, w) -> w`` folds a partition's rows in order; the models of the
-  partitions are averaged by rows (replicated models);
+  partitions are averaged by rows (replicated models), or merged by a function of the user's;
 * a *column* function ``f(j, x_j, d, y, w_j) -> gradient`` over one column and the current scores
-  (coordinate access).
+  (coordinate access), and a *column-to-row* function ``f(j, x_j, X, y, w) -> gradient``, which also
+  sees the rows that the column touches.
 
 Partial results are summed by Spark per position; the driver holds one model and nothing per row.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.session import Scratch, broadcast_if_small
+
 BLOCK_BYTES = 4 << 20
+#: Bytes of a file that a function sees at a time, few enough for the caches of a core.
+PIECE_BYTES = 1 << 20
 
 
 def pack_blocks(rows: DataFrame, width: int) -> DataFrame:
@@ -44,10 +54,66 @@ def pack_blocks(rows: DataFrame, width: int) -> DataFrame:
     return rows.select("features", F.col("label").cast("double")).mapInArrow(run, "n long, x binary, y binary")
 
 
-def unpack_blocks(batches, width: int):
+def write_blocks(rows: DataFrame, width: int, root: str) -> DataFrame:
+    """``n, path``: a file per task with the rows' features, then their labels, as doubles.
+
+    A task that runs twice leaves a file that nothing names. Rows as ``pack_blocks`` wants them.
+    """
+    packed = pack_blocks(rows, width)
+
+    def run(batches):
+        target, base = fs.FileSystem.from_uri(root)
+        target.create_dir(base)
+        name = uuid.uuid4().hex
+        n, labels = 0, []
+        with target.open_output_stream(f"{base}/{name}") as out:
+            for b in batches:
+                for k, x, y in zip(b.column("n").to_pylist(), b.column("x"), b.column("y")):
+                    out.write(x.as_buffer())
+                    labels.append(y.as_py())
+                    n += k
+            out.write(b"".join(labels))
+        if n:
+            yield pa.record_batch([pa.array([n], pa.int64()), pa.array([f"{root}/{name}"])], names=["n", "path"])
+        else:
+            target.delete_file(f"{base}/{name}")
+
+    return packed.mapInArrow(run, "n long, path string")
+
+
+def opened(batches, width: int) -> Iterator[Iterator[tuple[np.ndarray, np.ndarray]]]:
+    """Per file (or stored block) its pieces as matrix and labels."""
+    step = max(1, PIECE_BYTES // (8 * max(1, width)))
+
+    def pieces(x: np.ndarray, y: np.ndarray):
+        for s in range(0, len(y), step):
+            yield x[s : s + step], y[s : s + step]
+
     for b in batches:
-        for n, x, y in zip(b.column("n").to_pylist(), b.column("x"), b.column("y")):
-            yield np.frombuffer(x.as_buffer(), np.float64).reshape(n, width), np.frombuffer(y.as_buffer(), np.float64)
+        if "path" not in b.schema.names:
+            yield (m for n, x, y in zip(b.column("n").to_pylist(), b.column("x"), b.column("y")) for m in pieces(np.frombuffer(x.as_buffer(), np.float64).reshape(n, width), np.frombuffer(y.as_buffer(), np.float64)))
+            continue
+        for n, path in zip(b.column("n").to_pylist(), b.column("path").to_pylist()):
+            source, at = fs.FileSystem.from_uri(path)
+            if isinstance(source, fs.LocalFileSystem):
+                flat = np.memmap(at, np.float64, "r")
+            else:
+                with source.open_input_file(at) as f:
+                    flat = np.frombuffer(f.read_buffer(), np.float64)
+            yield pieces(flat[: n * width].reshape(n, width), flat[n * width :])
+
+
+def unpack_blocks(batches, width: int):
+    for file in opened(batches, width):
+        yield from file
+
+
+def _openable(root: str) -> bool:
+    try:
+        fs.FileSystem.from_uri(root)
+    except Exception:  # an unknown scheme, or one whose library is not there
+        return False
+    return True
 
 
 class Engine:
@@ -59,11 +125,29 @@ class Engine:
         if partitions:
             src = src.repartitionByRange(partitions, "row_id").sortWithinPartitions("row_id")
         self.spark, self.width = rows.sparkSession, width
-        self.blocks = pack_blocks(src, width).persist(StorageLevel.MEMORY_AND_DISK)
+        self.scratch = Scratch(self.spark, "blocks")
+        if _openable(self.scratch.root):
+            names = self.scratch.write(write_blocks(src, width, f"{self.scratch.root}/files"))
+            # the names alone are kept, a task's worth of files in each partition
+            tasks = max(1, min(names.count(), 4 * self.spark.sparkContext.defaultParallelism))
+            self.blocks = names.repartition(tasks).persist(StorageLevel.MEMORY_AND_DISK)
+        else:
+            self.blocks = pack_blocks(src, width).persist(StorageLevel.MEMORY_AND_DISK)
         self._functions: list[tuple[str, Callable]] = []
+        self._merge: Callable | None = None
 
     def close(self) -> None:
         self.blocks.unpersist()
+        self.scratch.clear()
+
+    def register_c2r(self, f: Callable) -> int:
+        self._functions.append(("c2r", f))
+        return len(self._functions) - 1
+
+    def register_model_avg(self, merge: Callable) -> None:
+        """``merge(a, rows_a, b, rows_b) -> model`` takes the place of the average by rows; it must be
+        associative, as partitions are merged in a tree."""
+        self._merge = merge
 
     def register_row(self, f: Callable) -> int:
         self._functions.append(("row", f))
@@ -89,7 +173,7 @@ class Engine:
         if kind == "update":
             total, s, n = self._folds(lambda x, y, m: f(x, y, m, **extra), w)
             return total, s / n if n else w
-        columns = Engine._columns
+        columns = Engine._touched if kind == "c2r" else Engine._columns
         total, g, _ = self._sums(lambda x, y: columns(f, x, y, w, extra))
         return total, w - rate * g
 
@@ -98,6 +182,15 @@ class Engine:
         d = x @ w
         return 0.0, np.array([f(j, x[:, j], d, y, w[j], **extra) for j in range(x.shape[1])])
 
+    @staticmethod
+    def _touched(f: Callable, x: np.ndarray, y: np.ndarray, w: np.ndarray, extra: dict) -> tuple[float, np.ndarray]:
+        g = np.zeros(len(w))
+        for j in range(x.shape[1]):
+            at = np.flatnonzero(x[:, j])
+            if len(at):
+                g[j] = f(j, x[at, j], x[at], y[at], w, **extra)
+        return 0.0, g
+
     def _sums(self, f: Callable) -> tuple[float, np.ndarray, int]:
         width = self.width
 
@@ -113,16 +206,42 @@ class Engine:
         return self._collect(run)
 
     def _folds(self, f: Callable, w: np.ndarray) -> tuple[float, np.ndarray, int]:
-        width = self.width
+        width, merge = self.width, self._merge
 
-        def run(batches):
-            m, n = w.copy(), 0
-            for x, y in unpack_blocks(batches, width):
-                m = f(x, y, m)
-                n += len(y)
-            yield from _vector(m * n, 0.0, n)
+        def models(batches):
+            for file in opened(batches, width):
+                m, n = w.copy(), 0
+                for x, y in file:
+                    m = f(x, y, m)
+                    n += len(y)
+                if n:
+                    yield m, n
 
-        return self._collect(run)
+        def run(batches):
+            total, n = np.zeros(width), 0
+            for m, k in models(batches):
+                total, n = total + m * k, n + k
+            yield from _vector(total, 0.0, n)
+
+        if merge is None:
+            return self._collect(run)
+
+        def merged(pairs):
+            have = None
+            for m, k in pairs:
+                have = (m, k) if have is None else (merge(*have, m, k), have[1] + k)
+            if have:
+                yield pa.record_batch([pa.array([have[1]], pa.int64()), pa.array([have[0].tolist()], pa.list_(pa.float64()))], names=["n", "m"])
+
+        level = self.scratch.write(self.blocks.mapInArrow(lambda b: merged(models(b)), "n long, m array<double>"))
+        left = level.count()
+        while left > 1:
+            left = -(-left // 16)
+            again = level.repartition(left).mapInArrow(lambda b: merged((np.array(m), n) for x in b for n, m in zip(x.column("n").to_pylist(), x.column("m").to_pylist())), "n long, m array<double>")
+            level = self.scratch.write(again)
+            left = level.count() if left > 1 else 1
+        r = level.first()
+        return (0.0, np.array(r["m"]) * r["n"], r["n"]) if r else (0.0, np.zeros(width), 0)
 
     def _collect(self, run) -> tuple[float, np.ndarray, int]:
         """Sums by position over the tasks; positions width and width + 1 hold the value and the count."""
@@ -171,4 +290,4 @@ def row_numbers(df: DataFrame, order: str) -> DataFrame:
     n = part.groupBy("__p").agg(F.count(F.lit(1)).alias("n"))
     off = n.withColumn("o", F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__p", "o")
     w = Window.partitionBy("__p").orderBy(order)
-    return part.withColumn("__k", F.row_number().over(w)).join(F.broadcast(off), "__p").withColumn("row_id", F.col("o") + F.col("__k") - 1).drop("__p", "__k", "o")
+    return part.withColumn("__k", F.row_number().over(w)).join(broadcast_if_small(off), "__p").withColumn("row_id", F.col("o") + F.col("__k") - 1).drop("__p", "__k", "o")

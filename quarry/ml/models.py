@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import scalars
-from quarry.ml.engine import Engine
+from quarry.ml.engine import Engine, _vector
 from quarry.ml.select import gram
 from quarry.session import Scratch
 
@@ -127,6 +127,60 @@ def fit(rows: DataFrame, width: int, kind: str, epochs: int = 10, rate: float |
     return Fit(w, losses)
 
 
+def fit_sparse(rows: DataFrame, width: int, epochs: int = 10, rate: float = 0.01, shrink: float = 0.0, partitions: int | None = None, model: np.ndarray | None = None) -> Fit:
+    """Logistic regression by SGD over sparse rows ``row_id, idx, val, label`` (label above 0 is positive).
+
+    Each partition folds its rows in row order from the same model, touching only a row's own weights
+    (``shrink`` divides them by 1 + shrink); the partitions' models are averaged by rows. Losses are
+    means before each epoch. Rows with a null label are an error; indices must lie below ``width``.
+    """
+    src = rows.select("row_id", "idx", "val", (F.col("label") > 0).cast("double").alias("label"))
+    if partitions:
+        src = src.repartitionByRange(partitions, "row_id")
+    scratch = Scratch(rows.sparkSession, "sparse")
+    src = scratch.write(src.sortWithinPartitions("row_id"))
+    w = np.zeros(width) if model is None else np.asarray(model, np.float64)
+    losses = []
+    for _ in range(epochs):
+
+        def run(batches, start=w):
+            m, n, loss = start.copy(), 0, 0.0
+            for b in batches:
+                idx, val = (b.column(c).combine_chunks() if isinstance(b.column(c), pa.ChunkedArray) else b.column(c) for c in ("idx", "val"))
+                offset = np.asarray(idx.offsets) - idx.offsets[0].as_py()
+                at, x = np.asarray(idx.flatten()), np.asarray(val.flatten(), np.float64)
+                if b.column("label").null_count:
+                    raise ValueError("every row needs a label")
+                for k, y in enumerate(b.column("label").to_numpy()):
+                    i, v = at[offset[k] : offset[k + 1]], x[offset[k] : offset[k + 1]]
+                    d0, d = float(v @ start[i]), float(v @ m[i])
+                    loss += float(np.logaddexp(0, d0) - y * d0)
+                    np.subtract.at(m, i, rate * (float(_sigmoid(np.float64(d))) - y) * v)
+                    if shrink:
+                        m[np.unique(i)] /= 1 + shrink
+                    n += 1
+            yield from _vector(m * n, loss, n)
+
+        got = src.select("idx", "val", "label").mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
+        out = np.zeros(width + 2)
+        out[got.column("i").to_numpy()] = got.column("v").to_numpy()
+        n = out[width + 1]
+        losses.append(out[width] / max(n, 1))
+        w = out[:width] / n if n else w
+    scratch.clear()
+    return Fit(w, losses)
+
+
+def train_libsvm(spark, path: str, width: int, model_path: str | None = None, **options) -> Fit:
+    """Trains ``fit_sparse`` on a LIBSVM file and writes the model if a path is given."""
+    from quarry.sources import files
+
+    done = fit_sparse(files.read_libsvm(spark, path), width, **options)
+    if model_path:
+        files.write_model(spark, done.model.tolist(), model_path)
+    return done
+
+
 def predict(rows: DataFrame, model: np.ndarray, low: float = -1.0) -> DataFrame:
     """Adds ``score``, ``probability`` and ``prediction`` (1 above one half, else ``low``)."""
     w = F.array(*[F.lit(float(x)) for x in model])

@@ -67,6 +67,16 @@ def glm_column_epoch(spark, d):
         e.close()
 
 
+def glm_column_to_row_epoch(spark, d):
+    """The same step by column-to-row access."""
+    e = engine.Engine(rows(spark, d), WIDTH)
+    try:
+        step = lambda j, x, rows, y, w: float(x @ (models._sigmoid(rows @ w) - y))
+        return _vector_frame(spark, e.exec(e.register_c2r(step), weights(), 0.001)[1])
+    finally:
+        e.close()
+
+
 def glm_sparse_gradient(spark, d):
     """Gradient of sparse rows by joins on the feature."""
     r = rows(spark, d)
@@ -86,13 +96,22 @@ def glm_predictions(spark, d):
 
 def glm_train(spark, d):
     """Losses of ten epochs of logistic regression."""
-    f = models.fit(rows(spark, d), WIDTH, "logistic", 10, 0.1)
-    return spark.createDataFrame(list(enumerate(map(float, f.losses))), "epoch int, loss double")
+    return _losses(spark, models.fit(rows(spark, d), WIDTH, "logistic", 10, 0.1))
+
+
+def _losses(spark, fit: models.Fit) -> DataFrame:
+    return spark.createDataFrame([(k, round(float(x), 8)) for k, x in enumerate(fit.losses)], "epoch int, loss double")
+
+
+def glm_sparse_train(spark, d):
+    """Losses of SGD over sparse rows, in row order within four partitions."""
+    r = rows(spark, d)
+    sparse = r.select("row_id", F.sequence(F.lit(0), F.lit(WIDTH - 1)).alias("idx"), F.col("features").alias("val"), "label")
+    return _losses(spark, models.fit_sparse(sparse, WIDTH, 3, 0.01, partitions=4))
 
 
 def svm_train(spark, d):
-    f = models.fit(rows(spark, d, True), WIDTH, "svm", 10, 0.05)
-    return spark.createDataFrame(list(enumerate(map(float, f.losses))), "epoch int, loss double")
+    return _losses(spark, models.fit(rows(spark, d, True), WIDTH, "svm", 10, 0.05))
 
 
 def glm_fold_train(spark, d):
@@ -185,13 +204,27 @@ def stream_medians(spark, d):
 
 _R = "r AS (SELECT vec_id AS row_id, embedding::DOUBLE[] AS x, (label % 2)::DOUBLE AS y FROM embeddings WHERE embedding IS NOT NULL), w AS (SELECT list_transform(range(64), lambda j: ((j * 37) % 19 - 9) / 100.0::DOUBLE) AS w), s AS (SELECT r.*, list_dot_product(x, w.w) AS d FROM r, w)"
 _STEP = f"WITH {_R}, g AS (SELECT u.j - 1 AS j, sum(s.x[u.j] * (1 / (1 + exp(-d)) - y)) AS g FROM s, (SELECT unnest(range(1, 65)) AS j) u GROUP BY ALL) SELECT j::INT AS pos, round(((j * 37) % 19 - 9) / 100.0::DOUBLE - 0.001::DOUBLE * g, 8) AS weight FROM g"
+
+
+def _train_sql(rows: str, loss: str, gradient: str, rate: float, epochs: int = 10) -> str:
+    """Losses of full-gradient descent from zero; ``gradient`` is a row's part for feature j."""
+    steps = [f"WITH {rows}", "n AS (SELECT count(*) AS n FROM r)", "w0 AS (SELECT list_transform(range(64), lambda j: 0.0::DOUBLE) AS w)"]
+    for k in range(epochs):
+        steps.append(f"s{k} AS MATERIALIZED (SELECT x, y, w, list_dot_product(x, w) AS d, list_dot_product(w, w) AS sq FROM r, w{k})")
+        steps.append(f"l{k} AS MATERIALIZED (SELECT avg({loss}) AS loss FROM s{k})")
+        steps.append(f"g{k} AS MATERIALIZED (SELECT list(g ORDER BY j) AS g FROM (SELECT u.j, sum({gradient}) AS g FROM s{k}, (SELECT unnest(range(1, 65)) AS j) u GROUP BY u.j))")
+        steps.append(f"w{k + 1} AS MATERIALIZED (SELECT list_transform(range(1, 65), lambda j: w[j] - {rate}::DOUBLE / n * g[j]) AS w FROM w{k}, g{k}, n)")
+    return ", ".join(steps) + " " + " UNION ALL ".join(f"SELECT {k}::INT AS epoch, round(loss, 8) AS loss FROM l{k}" for k in range(epochs))
+
+
+_ROWS = "r AS (SELECT embedding::DOUBLE[] AS x, {} AS y FROM embeddings WHERE embedding IS NOT NULL)"
 _CL = """p AS (SELECT vec_id AS pid, embedding::DOUBLE[] AS x FROM embeddings), c AS (SELECT row_number() OVER (ORDER BY pid) - 1 AS centre, x AS cx FROM (SELECT * FROM p ORDER BY pid LIMIT 10)),
 dd AS (SELECT pid, x, centre, list_sum(list_transform(list_zip(x, cx), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS dist FROM p, c), a AS (SELECT pid, x, centre, dist FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY round(dist, 9), centre) AS rn FROM dd) WHERE rn = 1)"""
 
 QUERIES = {
     f.__name__: f
     for f in (
-        glm_loss, ls_loss, svm_loss, perceptron_loss, glm_grad_epoch, glm_column_epoch, glm_sparse_gradient, glm_accuracy, glm_predictions, glm_train, svm_train, glm_fold_train, admm_model, least_squares_exact, gram_matrix, least_squares_model, step_drop_features,
+        glm_loss, ls_loss, svm_loss, perceptron_loss, glm_grad_epoch, glm_column_epoch, glm_column_to_row_epoch, glm_sparse_gradient, glm_sparse_train, glm_accuracy, glm_predictions, glm_train, svm_train, glm_fold_train, admm_model, least_squares_exact, gram_matrix, least_squares_model, step_drop_features,
         coreset_rows, minmax_scale, transpose_columns, cluster_assign, cluster_centroids, open_gain, stream_medians,
     )
 }
@@ -203,6 +236,9 @@ SQL = {
     "perceptron_loss": f"WITH {_R} SELECT round(avg(0.6::DOUBLE * (y - CASE WHEN d >= 0 THEN 1 ELSE 0 END)), 8) AS loss FROM s",
     "glm_grad_epoch": _STEP,
     "glm_column_epoch": _STEP,
+    "glm_column_to_row_epoch": _STEP,
+    "glm_train": _train_sql(_ROWS.format("(label % 2)::DOUBLE"), "ln(1 + exp(d)) - y * d", "x[u.j] * (1 / (1 + exp(-d)) - y)", 0.1),
+    "svm_train": _train_sql(_ROWS.format("(2 * (label % 2) - 1)::DOUBLE"), "greatest(0, 1 - y * d) + 0.1::DOUBLE * sq", "0.2::DOUBLE * w[u.j] - CASE WHEN 1 - y * d > 0 THEN y * x[u.j] ELSE 0 END", 0.05),
     "glm_sparse_gradient": f"WITH {_R} SELECT (u.j - 1)::INT AS col, round(sum(s.x[u.j] * (1 / (1 + exp(-d)) - y)), 6) AS g FROM s, (SELECT unnest(range(1, 65)) AS j) u GROUP BY ALL",
     "glm_accuracy": f"WITH {_R} SELECT round(avg(CASE WHEN (1 / (1 + exp(-d)) > 0.5)::INT = y THEN 1.0::DOUBLE ELSE 0 END), 9) AS accuracy FROM s",
     "glm_predictions": f"WITH {_R} SELECT row_id, CASE WHEN 1 / (1 + exp(-d)) > 0.5 THEN 1.0::DOUBLE ELSE -1.0 END AS prediction FROM s",

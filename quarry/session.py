@@ -77,6 +77,10 @@ class Scratch:
         out._quarry_path = path
         return out
 
+    def clear(self) -> None:
+        """Removes everything this call has written."""
+        _delete(self.spark, self.root)
+
     def drop(self, df: DataFrame) -> None:
         path = getattr(df, "_quarry_path", None)
         if path:
