@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.session import Scratch
+from quarry.session import Scratch, broadcast_if_small
 
 
 def weighted_draw(items: DataFrame, draws: DataFrame, id_col: str, weight_col: str) -> DataFrame:
@@ -23,7 +23,7 @@ def weighted_draw(items: DataFrame, draws: DataFrame, id_col: str, weight_col: s
     sums = part.groupBy("__p").agg(F.sum(weight_col).alias("s"))
     offs = sums.withColumn("__o", F.coalesce(F.sum("s").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row a partition
     run = F.sum(weight_col).over(Window.partitionBy("__p").orderBy(id_col).rowsBetween(Window.unboundedPreceding, 0))
-    lined = part.withColumn("__hi", run).join(F.broadcast(offs.select("__p", "__o")), "__p").withColumn("__hi", F.col("__hi") + F.col("__o")).withColumn("__lo", F.col("__hi") - F.col(weight_col))
+    lined = part.withColumn("__hi", run).join(broadcast_if_small(offs.select("__p", "__o")), "__p").withColumn("__hi", F.col("__hi") + F.col("__o")).withColumn("__lo", F.col("__hi") - F.col(weight_col))
     row = items.agg(F.max(weight_col), F.count(F.lit(1)), F.sum(weight_col)).first()
     width = max(1, int((row[2] or 1) // max(1, row[1])))  # a bucket of the mean weight: an item spans few buckets on average
     cut = lined.withColumn("__b", F.explode(F.sequence(F.floor(F.col("__lo") / width), F.floor((F.col("__hi") - 1) / width))))
@@ -121,38 +121,38 @@ def min_max(df: DataFrame, columns: list[str]) -> DataFrame:
 def step_search(rows: DataFrame, candidates: dict[str, list[int]], epochs: int = 5, rate: float = 0.001) -> DataFrame:
     """``candidate, loss`` of a least-squares fit per feature set, all in the same passes.
 
-    Each pass returns the gradients of every candidate; the models live on the driver, a vector per
-    candidate.
+    Each pass returns the gradients of every candidate, summed per position by Spark; the models live
+    on the driver, a vector per candidate.
     """
     import pyarrow as pa
 
     names = list(candidates)
     models = [np.zeros(len(candidates[n])) for n in names]
-    src = rows.select("features", "label")
-    loss = [0.0] * len(names)
+    # positions of a pass: per candidate its gradient and its loss, and the number of rows at the end
+    start = np.cumsum([0] + [len(m) + 1 for m in models])
+    src = rows.select("features", F.col("label").cast("double"))
+    loss = np.zeros(len(names))
     for _ in range(epochs + 1):
         now = [m.copy() for m in models]
 
         def part(batches, now=now):
-            g = [np.zeros_like(m) for m in now]
-            s, n = [0.0] * len(names), 0
+            out = np.zeros(start[-1] + 1)
             for b in batches:
                 y = b.column(1).to_numpy()
                 x = np.array(b.column(0).flatten()).reshape(len(y), -1)
-                n += len(y)
+                out[-1] += len(y)
                 for i, name in enumerate(names):
                     xi = x[:, candidates[name]]
                     e = xi @ now[i] - y
-                    g[i] += xi.T @ e
-                    s[i] += 0.5 * float(e @ e)
-            yield pa.record_batch([pa.array(range(len(names)), pa.int32()), pa.array([x.tolist() for x in g], pa.list_(pa.float64())), pa.array(s), pa.array([n] * len(names), pa.int64())], names=["c", "g", "s", "n"])
-
-        got = src.mapInArrow(part, "c int, g array<double>, s double, n long").collect()  # one row a task and candidate
-        n = sum(r["n"] for r in got if r["c"] == 0) or 1
-        for i in range(len(names)):
-            mine = [r for r in got if r["c"] == i]
-            loss[i] = sum(r["s"] for r in mine) / n
-            models[i] = models[i] - rate * sum((np.array(r["g"]) for r in mine), np.zeros_like(models[i]))
+                    out[start[i] : start[i + 1] - 1] += xi.T @ e
+                    out[start[i + 1] - 1] += 0.5 * float(e @ e)
+            yield pa.record_batch([pa.array(np.arange(len(out))), pa.array(out)], names=["i", "v"])
+
+        got = src.mapInArrow(part, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
+        sums = np.zeros(start[-1] + 1)
+        sums[got.column("i").to_numpy()] = got.column("v").to_numpy()
+        loss = sums[start[1:] - 1] / max(sums[-1], 1)
+        models = [m - rate * sums[start[i] : start[i + 1] - 1] for i, m in enumerate(models)]
     return rows.sparkSession.createDataFrame([(a, float(b)) for a, b in zip(names, loss)], "candidate string, loss double")
 
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.session import broadcast_if_small
+
 
 def _after(keys: list[str], bound: list, inclusive: bool) -> Column:
     """Lexicographic key > bound (>= if inclusive)."""
@@ -92,7 +94,7 @@ def median_row(df: DataFrame, group: list[str], order: list[Column]) -> DataFram
 def interval_lookup(rows: DataFrame, tiers: DataFrame, keys: list[str], value: str, low: str, high: str) -> DataFrame:
     """Joins the first tier (by ``low``) with low < value <= high among equal keys; no tier gives no row."""
     t = tiers.select(*keys, *[c for c in tiers.columns if c not in keys])
-    hit = rows.withColumn("__id", F.monotonically_increasing_id()).join(F.broadcast(t) if tiers.isLocal() else t, keys).where((F.col(low) < F.col(value)) & (F.col(value) <= F.col(high)))
+    hit = rows.withColumn("__id", F.monotonically_increasing_id()).join(broadcast_if_small(t), keys).where((F.col(low) < F.col(value)) & (F.col(value) <= F.col(high)))
     return first_per_group(hit, ["__id"], [F.col(low)]).drop("__id")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import scalars
 from quarry.operators import scans
-from quarry.session import Scratch, load
+from quarry.session import Scratch, broadcast_if_small, load
 
 Tables = dict[str, DataFrame]
 
@@ -225,7 +225,7 @@ def rename_executions(state: Tables, trade_ids: DataFrame, a: str = " X ", b: st
     """Toggles a mark in the execution names of the listed trades."""
     t = state["trade"]
     hit = trade_ids.select(F.col("t_id"), F.lit(True).alias("__hit")).distinct()
-    return state | {"trade": t.join(F.broadcast(hit) if trade_ids.isLocal() else hit, "t_id", "left").withColumn("t_exec_name", F.when(F.col("__hit"), scalars.toggle(F.col("t_exec_name"), a, b)).otherwise(F.col("t_exec_name"))).select(*t.columns)}
+    return state | {"trade": t.join(broadcast_if_small(hit), "t_id", "left").withColumn("t_exec_name", F.when(F.col("__hit"), scalars.toggle(F.col("t_exec_name"), a, b)).otherwise(F.col("t_exec_name"))).select(*t.columns)}
 
 
 def read_modify_write(table: DataFrame, keys: DataFrame, key: str, change) -> DataFrame:

@@ -124,12 +124,6 @@ def admm_model(spark, d):
     return _vector_frame(spark, models.admm(rows(spark, d), WIDTH))
 
 
-def least_squares_exact(spark, d):
-    """Gram matrix cells of the first eight features."""
-    g = select.gram(rows(spark, d), WIDTH)
-    return spark.createDataFrame([(i, j, round(float(g[i, j]), 5)) for i in range(8) for j in range(8)], "i int, j int, g double")
-
-
 def gram_matrix(spark, d):
     """All cells of the Gram matrix."""
     g = select.gram(rows(spark, d), WIDTH)
@@ -217,6 +211,16 @@ def _train_sql(rows: str, loss: str, gradient: str, rate: float, epochs: int = 1
     return ", ".join(steps) + " " + " UNION ALL ".join(f"SELECT {k}::INT AS epoch, round(loss, 8) AS loss FROM l{k}" for k in range(epochs))
 
 
+def _drop_sql(rate: float, epochs: int) -> str:
+    """Loss of a least-squares model without each of the features, after so many steps from zero."""
+    steps = ["WITH r AS (SELECT embedding::DOUBLE[] AS x, (label % 2)::DOUBLE AS y FROM embeddings WHERE embedding IS NOT NULL)", "w0 AS (SELECT unnest(range(64)) AS c, list_transform(range(64), lambda j: 0.0::DOUBLE) AS w)"]
+    for k in range(epochs + 1):
+        steps.append(f"s{k} AS MATERIALIZED (SELECT c, x, list_dot_product(x, w) - y AS e FROM r, w{k})")
+        steps.append(f"g{k} AS MATERIALIZED (SELECT c, list(g ORDER BY j) AS g FROM (SELECT c, u.j, sum(x[u.j] * e) AS g FROM s{k}, (SELECT unnest(range(1, 65)) AS j) u GROUP BY c, u.j) GROUP BY c)")
+        steps.append(f"w{k + 1} AS MATERIALIZED (SELECT c, list_transform(range(1, 65), lambda j: CASE WHEN j - 1 = c THEN 0 ELSE w[j] - {rate}::DOUBLE * g[j] END) AS w FROM w{k} JOIN g{k} USING (c))")
+    return ", ".join(steps) + f" SELECT c::VARCHAR AS candidate, round(avg(0.5::DOUBLE * e * e), 8) AS loss FROM s{epochs} GROUP BY c"
+
+
 _ROWS = "r AS (SELECT embedding::DOUBLE[] AS x, {} AS y FROM embeddings WHERE embedding IS NOT NULL)"
 _CL = """p AS (SELECT vec_id AS pid, embedding::DOUBLE[] AS x FROM embeddings), c AS (SELECT row_number() OVER (ORDER BY pid) - 1 AS centre, x AS cx FROM (SELECT * FROM p ORDER BY pid LIMIT 10)),
 dd AS (SELECT pid, x, centre, list_sum(list_transform(list_zip(x, cx), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS dist FROM p, c), a AS (SELECT pid, x, centre, dist FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY round(dist, 9), centre) AS rn FROM dd) WHERE rn = 1)"""
@@ -224,7 +228,7 @@ dd AS (SELECT pid, x, centre, list_sum(list_transform(list_zip(x, cx), lambda z:
 QUERIES = {
     f.__name__: f
     for f in (
-        glm_loss, ls_loss, svm_loss, perceptron_loss, glm_grad_epoch, glm_column_epoch, glm_column_to_row_epoch, glm_sparse_gradient, glm_sparse_train, glm_accuracy, glm_predictions, glm_train, svm_train, glm_fold_train, admm_model, least_squares_exact, gram_matrix, least_squares_model, step_drop_features,
+        glm_loss, ls_loss, svm_loss, perceptron_loss, glm_grad_epoch, glm_column_epoch, glm_column_to_row_epoch, glm_sparse_gradient, glm_sparse_train, glm_accuracy, glm_predictions, glm_train, svm_train, glm_fold_train, admm_model, gram_matrix, least_squares_model, step_drop_features,
         coreset_rows, minmax_scale, transpose_columns, cluster_assign, cluster_centroids, open_gain, stream_medians,
     )
 }
@@ -237,12 +241,12 @@ SQL = {
     "glm_grad_epoch": _STEP,
     "glm_column_epoch": _STEP,
     "glm_column_to_row_epoch": _STEP,
+    "step_drop_features": _drop_sql(0.0001, 5),
     "glm_train": _train_sql(_ROWS.format("(label % 2)::DOUBLE"), "ln(1 + exp(d)) - y * d", "x[u.j] * (1 / (1 + exp(-d)) - y)", 0.1),
     "svm_train": _train_sql(_ROWS.format("(2 * (label % 2) - 1)::DOUBLE"), "greatest(0, 1 - y * d) + 0.1::DOUBLE * sq", "0.2::DOUBLE * w[u.j] - CASE WHEN 1 - y * d > 0 THEN y * x[u.j] ELSE 0 END", 0.05),
     "glm_sparse_gradient": f"WITH {_R} SELECT (u.j - 1)::INT AS col, round(sum(s.x[u.j] * (1 / (1 + exp(-d)) - y)), 6) AS g FROM s, (SELECT unnest(range(1, 65)) AS j) u GROUP BY ALL",
     "glm_accuracy": f"WITH {_R} SELECT round(avg(CASE WHEN (1 / (1 + exp(-d)) > 0.5)::INT = y THEN 1.0::DOUBLE ELSE 0 END), 9) AS accuracy FROM s",
     "glm_predictions": f"WITH {_R} SELECT row_id, CASE WHEN 1 / (1 + exp(-d)) > 0.5 THEN 1.0::DOUBLE ELSE -1.0 END AS prediction FROM s",
-    "least_squares_exact": f"WITH {_R} SELECT (a.k - 1)::INT AS i, (b.k - 1)::INT AS j, round(sum(x[a.k] * x[b.k]), 5) AS g FROM r, (SELECT unnest(range(1, 9)) AS k) a, (SELECT unnest(range(1, 9)) AS k) b GROUP BY ALL",
     "gram_matrix": f"WITH {_R} SELECT (a.k - 1)::INT AS i, (b.k - 1)::INT AS j, round(sum(x[a.k] * x[b.k]), 5) AS g FROM r, (SELECT unnest(range(1, 65)) AS k) a, (SELECT unnest(range(1, 65)) AS k) b GROUP BY ALL",
     "minmax_scale": """SELECT p_partkey, round((p_size - (SELECT min(p_size) FROM part))::DOUBLE / (SELECT max(p_size) - min(p_size) FROM part), 9) AS size,
   round((p_retailprice - (SELECT min(p_retailprice) FROM part)) / (SELECT max(p_retailprice) - min(p_retailprice) FROM part), 9) AS price, 1.0::DOUBLE AS intercept FROM part""",

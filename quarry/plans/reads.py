@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import scalars
 from quarry.operators import scans
-from quarry.session import broadcast_if_small, load
+from quarry.session import broadcast_if_small, broadcast_if_small, load
 
 
 def _t(spark: SparkSession, d: str, *names: str) -> list[DataFrame]:
@@ -102,8 +102,8 @@ def part_detail(spark, d):
     """Suppliers of every part with nation and region, and the customers' nation: one table under two names."""
     l, s, n, r, o, c = _t(spark, d, "lineitem", "supplier", "nation", "region", "orders", "customer")
     sn, cn = n.alias("sn"), n.alias("cn")
-    j = l.join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(F.broadcast(sn), F.col("s_nationkey") == F.col("sn.n_nationkey")).join(F.broadcast(r), F.col("sn.n_regionkey") == F.col("r_regionkey"))
-    j = j.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(cn), F.col("c_nationkey") == F.col("cn.n_nationkey"))
+    j = l.join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(broadcast_if_small(sn), F.col("s_nationkey") == F.col("sn.n_nationkey")).join(broadcast_if_small(r), F.col("sn.n_regionkey") == F.col("r_regionkey"))
+    j = j.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(broadcast_if_small(cn), F.col("c_nationkey") == F.col("cn.n_nationkey"))
     return j.groupBy(F.col("r_name"), F.col("sn.n_name").alias("supplier_nation"), F.col("cn.n_name").alias("customer_nation")).agg(F.count(F.lit(1)).alias("lines"))
 
 
@@ -134,7 +134,7 @@ def tier_lookup(spark, d):
     l = load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity")
     tiers = spark.createDataFrame([("A", 0, 15, 1.0), ("A", 15, 35, 0.9), ("A", 30, 60, 0.8), ("N", 0, 25, 1.1), ("N", 25, 60, 0.7), ("R", 0, 60, 0.5)], "l_returnflag string, from_q int, to_q int, rate double")
     hit = F.min(F.struct("from_q", "rate"))
-    j = l.join(F.broadcast(tiers), "l_returnflag").where("from_q < l_quantity and l_quantity <= to_q")
+    j = l.join(broadcast_if_small(tiers), "l_returnflag").where("from_q < l_quantity and l_quantity <= to_q")
     return j.groupBy("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity").agg(hit.alias("m"), F.count(F.lit(1)).alias("tiers")).groupBy(F.col("m.rate").alias("rate")).agg(F.count(F.lit(1)).alias("lines"))
 
 
@@ -157,7 +157,7 @@ def feed_triggers(spark, d):
     """Pending requests that a quote sets off: three cases, each with its own comparison."""
     e = load(spark, d, "events").where("value is not null").select("event_id", "event_type", "value")
     quotes = spark.createDataFrame([("view", 20.0), ("click", 40.0), ("purchase", 60.0), ("signup", 30.0), ("error", 10.0)], "event_type string, quote double")
-    j = e.join(F.broadcast(quotes), "event_type")
+    j = e.join(broadcast_if_small(quotes), "event_type")
     kind = F.element_at(F.array(F.lit("TSL"), F.lit("TLS"), F.lit("TLB")), (F.col("event_id") % 3 + 1).cast("int"))
     return j.withColumn("kind", kind).where(scalars.triggered(F.col("kind"), F.col("value"), F.col("quote"))).select("event_id", "kind")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,14 +28,18 @@ def read_edges(spark: SparkSession, path: str, kind: str = "tsv", weighted: bool
     return read_edges_tsv(spark, path, weighted)
 
 
-def write_edges(edges: DataFrame, path: str, kind: str = "mtx") -> None:
-    """``mtx``: a first line ``vertices edges``, then one line ``v0 v1`` an edge, in one file."""
+def write_edges(edges: DataFrame, path: str, kind: str = "mtx", single: bool = False) -> None:
+    """``mtx``: a first line ``vertices edges``, then one line ``v0 v1`` an edge.
+
+    The first part file holds the first line, the others the edges, task by task; put together in the
+    order of their names they are the file. ``single`` writes one part instead, by one task.
+    """
     if kind != "mtx":
         raise ValueError(f"unknown edge format {kind!r}")
     size = edges.agg(F.coalesce(F.max(F.greatest("src", "dst")) + 1, F.lit(0)).alias("nv"), F.count(F.lit(1)).alias("ne"))
-    head = size.select(F.lit(0).alias("o"), F.concat_ws(" ", "nv", "ne").alias("value"))
-    body = edges.select(F.lit(1).alias("o"), F.concat_ws(" ", "src", "dst").alias("value"))
-    head.union(body).coalesce(1).sortWithinPartitions("o").select("value").write.mode("overwrite").text(path)
+    head = size.select(F.concat_ws(" ", "nv", "ne").alias("value")).coalesce(1)
+    out = head.union(edges.select(F.concat_ws(" ", "src", "dst").alias("value")))
+    (out.coalesce(1) if single else out).write.mode("overwrite").text(path)
 
 
 def read_libsvm(spark: SparkSession, path: str) -> DataFrame:
@@ -90,21 +95,31 @@ def matrix_frame(spark: SparkSession, matrix: np.ndarray) -> DataFrame:
     return spark.createDataFrame(table, schemas.DENSE_ROWS)
 
 
-def read_point_blocks(spark: SparkSession, path: str, dim: int) -> DataFrame:
-    """Files of raw little-endian float32 points as ``file, at, coord``; a torn last point is an error."""
+def read_point_blocks(spark: SparkSession, path: str, dim: int, chunk_points: int = 100_000) -> DataFrame:
+    """Files of raw little-endian float32 points as ``file, at, coord``; a torn last point is an error.
+
+    Only names and lengths are listed; tasks read ranges of ``chunk_points`` points, so a file of any
+    size is read by many of them.
+    """
+    step = 4 * dim
 
     def parse(batches):
         for b in batches:
-            for name, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
-                if len(content) % (4 * dim):
+            for name, size, k in zip(b.column("path").to_pylist(), b.column("length").to_pylist(), b.column("chunk").to_pylist()):
+                if size % step:
                     raise ValueError(f"{name} ends inside a point")
-                x = np.frombuffer(content, "<f4")
+                source, at = fs.FileSystem.from_uri("file://" + name[5:] if name.startswith("file:/") and not name.startswith("file://") else name)
+                with source.open_input_file(at) as f:
+                    x = np.frombuffer(f.read_at(min(chunk_points * step, size - k * chunk_points * step), k * chunk_points * step), "<f4")
                 n = len(x) // dim
                 for s in range(0, n, 10_000):
                     e = min(n, s + 10_000)
-                    yield pa.record_batch([pa.array([name] * (e - s)), pa.array(np.arange(s, e)), pa.ListArray.from_arrays(np.arange(0, (e - s) * dim + 1, dim, dtype=np.int32), pa.array(x[s * dim : e * dim]))], names=["file", "at", "coord"])
+                    place = np.arange(s, e) + k * chunk_points
+                    yield pa.record_batch([pa.array([name] * (e - s)), pa.array(place), pa.ListArray.from_arrays(np.arange(0, (e - s) * dim + 1, dim, dtype=np.int32), pa.array(x[s * dim : e * dim]))], names=["file", "at", "coord"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(parse, "file string, at long, coord array<float>")
+    files = spark.read.format("binaryFile").load(path).select("path", "length").where("length > 0")
+    chunks = files.select("path", "length", F.explode(F.sequence(F.lit(0), F.floor((F.col("length") - 1) / (chunk_points * step)))).alias("chunk"))
+    return chunks.repartition("path", "chunk").mapInArrow(parse, "file string, at long, coord array<float>")
 
 
 def synthetic_points(spark: SparkSession, n: int, dim: int, seed: int = 1) -> DataFrame:
