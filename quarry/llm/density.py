@@ -70,16 +70,24 @@ def _survey(block: V.Block, r2: float):
         if len(i):
             near[i, j] = block.exact(stored[s + i], query[j]) <= r2
         bits[s : s + step] = np.packbits(near, axis=1)
-        rank_s[s : s + step] = near @ block.copies[query].astype(np.float32)
-        rank_q += block.copies[stored[s : s + step]].astype(np.float32) @ near
-        a, b = block.met[stored[s : s + step]], block.met[query]
+        # what follows concerns linked rows only
+        r, c = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
+        if not len(r):
+            continue
+        near = near[np.ix_(r, c)]
+        held_s, held_q = block.copies[stored[s + r]], block.copies[query[c]]
+        weights = near.astype(np.float32)
+        rank_s[s + r] = weights @ held_q.astype(np.float32)
+        rank_q[c] += held_s.astype(np.float32) @ weights
+        a, b = block.met[stored[s + r]], block.met[query[c]]
         for t in range(a.shape[1] - 1):
             near &= ~((a[:, None, t, 0] == b[None, :, t, 0]) | (a[:, None, t, 0] == b[None, :, t, 1]) | (a[:, None, t, 1] == b[None, :, t, 0]))
-        count[s : s + step] = _weigh(near, block.copies[query])
+        count[s + r] = _weigh(near, held_q)
         # A probe counts what is stored here, but for rows that probe its own bucket: those count there.
-        if is_probe.any():
-            back = near[:, is_probe] & (a[:, None, -1, 1] != b[None, is_probe, -1, 0])
-            probed[is_probe] += _weigh(back.T, block.copies[stored[s : s + step]])
+        asks = is_probe[c]
+        if asks.any():
+            back = near[:, asks] & (a[:, None, -1, 1] != b[None, asks, -1, 0])
+            probed[c[asks]] += _weigh(back.T, held_s)
     if not bits.any():
         return
     yield from _offers(block, bits, rank_s + block.copies[stored] / (1.0 + len(query)), rank_q + block.copies[query] / (1.0 + len(query)), step)

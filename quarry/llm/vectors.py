@@ -220,7 +220,7 @@ def bucket_rows(v: Vectors, tables: int, seed: int, cap: int, copies: DataFrame
     """Rows ``key, role, id, vec`` (packed vectors) ready to be compared key by key.
 
     With ``copies(id, copies)`` every row also carries its number of copies (1 where it is not named)
-    and ``met``: its own and probe bucket in the tables up to that of the row.
+    and ``met``: its own and probe bucket in the tables up to that of the row, as packed longs.
     """
     dim, axes = v.dim, hash_widths(v.n, padded(v.dim))
     lsh = CrossPolytope(dim, v.mean, v.radius, tables, axes, seed)
@@ -244,7 +244,8 @@ def bucket_rows(v: Vectors, tables: int, seed: int, cap: int, copies: DataFrame
                         if weighed:
                             # a bucket that is not asked is met by nobody
                             seen = np.where(np.dstack([np.ones_like(ask), ask])[: , : t + 1], codes[:, : t + 1], -1)[at]
-                            cols.append(pa.ListArray.from_arrays(np.arange(0, seen.size + 1, 2 * (t + 1), dtype=np.int32), pa.array(seen.reshape(-1))))
+                            ends = np.arange(0, seen.nbytes + 1, 16 * (t + 1), dtype=np.int32)
+                            cols.append(pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(seen))]))
                             names.append("met")
                     yield pa.record_batch(cols, names=names)
 
@@ -257,7 +258,7 @@ def bucket_rows(v: Vectors, tables: int, seed: int, cap: int, copies: DataFrame
     src = v.rows
     if weighed:
         src = src.join(broadcast_if_small(copies), "id", "left").select("id", "vec", F.coalesce("copies", F.lit(1)).cast("long").alias("copies"))
-    rows = src.mapInArrow(lambda x: spread(x, True), ddl + ", id long, vec binary" + (", copies long, met array<long>" if weighed else ""))
+    rows = src.mapInArrow(lambda x: spread(x, True), ddl + ", id long, vec binary" + (", copies long, met binary" if weighed else ""))
     held = ["id", "vec", *(["copies", "met"] if weighed else [])]
     key = F.xxhash64("t", "b")
     if hot.limit(1).count():
@@ -351,8 +352,8 @@ def for_each_block(rows: DataFrame, dim: int, schema: pa.Schema, ddl: str, work:
                 continue
             more = ()
             if met is not None:
-                m = met.take(pa.array(at))
-                more = copies[at], m.flatten().to_numpy().reshape(len(at), -1, 2)
+                m = np.frombuffer(b"".join(met.take(pa.array(at)).to_pylist()), np.int64)
+                more = copies[at], m.reshape(len(at), -1, 2)
             block = Block(ids[at], role[at], vec.take(pa.array(at)).to_pylist(), dim, *more)
             if len(block.ids) < 2:
                 continue
