@@ -79,3 +79,16 @@ def write_elements(array: DataFrame, writes: DataFrame, value_col: str = "value"
     """Elements replaced by ``writes(idx, value)``; of several writes to one index the largest value stays."""
     last = writes.groupBy("idx").agg(F.max(value_col).alias("__w"))
     return array.join(last, "idx", "left").withColumn(value_col, F.coalesce("__w", value_col)).drop("__w")
+
+
+def unique(array: DataFrame) -> DataFrame:
+    """Distinct values of an array, nulls included once."""
+    return array.select("value").distinct()
+
+
+def combine(a: DataFrame, b: DataFrame, op: str = "add") -> DataFrame:
+    """Element by element ``a op b`` by index (add, mul, min, max); a cell that one side lacks stays as it is."""
+    x, y = F.col("value"), F.col("other")
+    both = {"add": x + y, "mul": x * y, "min": F.least(x, y), "max": F.greatest(x, y)}[op]
+    j = a.select("idx", "value").join(b.select("idx", F.col("value").alias("other")), "idx", "full")
+    return j.select("idx", F.coalesce(both, "value", "other").alias("value"))

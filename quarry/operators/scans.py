@@ -125,3 +125,25 @@ def first_crossing(requests: DataFrame, ticks: DataFrame, key: str, limit: str,
     order = [F.desc_nulls_last("__x") if rising else F.asc_nulls_last("__x"), F.asc("__q")]
     w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return both.withColumn("hit", F.when(F.col("__x").isNotNull(), F.min("__s").over(w))).where("__q = 1").select(*requests.columns, "hit")
+
+
+def consecutive_reads(table: DataFrame, requests: DataFrame, key: str, start: str, count: int) -> DataFrame:
+    """Every request with the records of the keys start .. start + count - 1 that exist. A request asks for
+    each key by itself, so the join is an equi-join whatever the table's size."""
+    asked = requests.withColumn(key, F.explode(F.sequence(F.col(start), F.col(start) + count - 1)))
+    return asked.join(table, key)
+
+
+def run_statistics(log: DataFrame, group: list[str], seconds: str, work: str | None = None, ok: str | None = None, skip: str | None = None) -> DataFrame:
+    """Per group ``runs, done, failed, mean_s, min_s, max_s`` and with ``work`` its rate, the harmonic mean of
+    work per second. Runs without a time, or with none above zero, are counted but not timed; with
+    ``skip`` each group's first run (by that column) warms up and is left out."""
+    t = log
+    if skip:
+        t = t.withColumn("__n", F.row_number().over(Window.partitionBy(*group).orderBy(skip))).where("__n > 1")
+    fine = F.coalesce(F.col(ok), F.lit(False)) if ok else F.lit(True)
+    s = F.when((F.col(seconds) > 0) & fine, F.col(seconds))
+    out = [F.count(F.lit(1)).alias("runs"), F.count_if(fine).alias("done"), F.count_if(~fine).alias("failed"), F.avg(s).alias("mean_s"), F.min(s).alias("min_s"), F.max(s).alias("max_s")]
+    if work:
+        out.append((F.count(s / F.col(work)) / F.sum(s / F.when(F.col(work) > 0, F.col(work)))).alias("rate"))
+    return t.groupBy(*group).agg(*out)

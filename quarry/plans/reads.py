@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import scalars
-from quarry.operators import scans
-from quarry.session import broadcast_if_small, broadcast_if_small, load
+from quarry.operators import arrays, scans
+from quarry.session import broadcast_if_small, load
 
 
 def _t(spark: SparkSession, d: str, *names: str) -> list[DataFrame]:
@@ -258,12 +258,45 @@ def ycsb_rmw(spark, d):
     return scans.upsert(p, changed, ["y_key"])
 
 
+def unique_sizes(spark, d):
+    """Distinct values of an array of part sizes."""
+    return arrays.unique(load(spark, d, "part").select(F.col("p_partkey").alias("idx"), F.col("p_size").alias("value")))
+
+
+def combined_cells(spark, d):
+    """Two arrays over nations, customers and suppliers per nation, added up."""
+    c, s = _t(spark, d, "customer", "supplier")
+    count = lambda t, k: t.groupBy(F.col(k).alias("idx")).agg(F.count(F.lit(1)).alias("value"))
+    return arrays.combine(count(c, "c_nationkey"), count(s, "s_nationkey"))
+
+
+def consecutive_parts(spark, d):
+    """Every hundredth part asks for itself and the nine keys behind it."""
+    p = load(spark, d, "part").select("p_partkey", "p_size")
+    asked = p.where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("start"))
+    return scans.consecutive_reads(p, asked, "p_partkey", "start", 10).groupBy("start").agg(F.count(F.lit(1)).alias("found"), F.sum("p_size").alias("total"))
+
+
+def search_statistics(spark, d):
+    """Times of the searches per scale of their graph, the first of each left out, and vertices a second."""
+    r = load(spark, d, "bfs_run").withColumns({"size": F.pow(F.lit(2.0), F.col("nv_scale")), "fine": F.col("start_vertex").isNotNull()})
+    s = scans.run_statistics(r, ["nv_scale"], "elapsed_s", "size", "fine", "run_id")
+    return s.select("nv_scale", "runs", "done", "failed", *[F.round(c, 6).alias(c) for c in ("mean_s", "min_s", "max_s")], F.round("rate", 3).alias("rate"))
+
+
+def restocked(spark, d):
+    """Line quantities per part and supplier as stock: rows below 15 are raised by 50, and only they."""
+    l = load(spark, d, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.min("l_quantity").cast("int").alias("quantity"))
+    low = l.where("quantity < 15").select("l_partkey", "l_suppkey", (F.col("quantity") + 50).alias("quantity"))
+    return scans.upsert(l, low, ["l_partkey", "l_suppkey"])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         min_quantity_supplier, supplier_by_computed_key, balance_check, recent_distinct_parts, order_window, order_status, oldest_open_order, median_customer, supplier_volume, customer_position, market_change,
         part_detail, first_lines, order_history, next_order_lines, tier_lookup, lots_fifo, lots_lifo, feed_triggers, range_assets, rate_sum, permission_probe, stale_index_rows, weighted_draws, running_share,
-        toggle_names, bit_functions, snapshot_asof, key_range_scan, ycsb_read, ycsb_rmw,
+        toggle_names, bit_functions, snapshot_asof, key_range_scan, ycsb_read, ycsb_rmw, unique_sizes, combined_cells, consecutive_parts, search_statistics, restocked,
     )
 }
 
@@ -327,4 +360,13 @@ v AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user
 UNION ALL SELECT o_custkey, o_orderkey, 'down' AS way FROM orders WHERE (o_custkey > 10 OR (o_custkey = 10 AND o_orderkey > 0)) AND (o_custkey < 40 OR (o_custkey = 40 AND o_orderkey <= 500))""",
     "ycsb_read": "SELECT range AS op, (range * 2654435761) % (SELECT count(*) FROM part) + 1 AS y_key, p_name AS y_value FROM range(1000) LEFT JOIN part ON p_partkey = (range * 2654435761) % (SELECT count(*) FROM part) + 1",
     "ycsb_rmw": """WITH w AS (SELECT (range * 2654435761) % (SELECT count(*) FROM part) + 1 AS k, count(*) AS n FROM range(1000) GROUP BY ALL) SELECT p_partkey AS y_key, CASE WHEN n IS NULL THEN p_name ELSE p_name || '+' || n::VARCHAR END AS y_value FROM part LEFT JOIN w ON k = p_partkey""",
+    "unique_sizes": "SELECT DISTINCT p_size AS value FROM part",
+    "combined_cells": """SELECT coalesce(c.k, s.k) AS idx, coalesce(c.n, 0) + coalesce(s.n, 0) AS value
+FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY ALL) c FULL JOIN (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY ALL) s ON c.k = s.k""",
+    "consecutive_parts": "SELECT a.p_partkey AS start, count(*) AS found, sum(b.p_size)::BIGINT AS total FROM part a JOIN part b ON b.p_partkey BETWEEN a.p_partkey AND a.p_partkey + 9 WHERE a.p_partkey % 100 = 0 GROUP BY ALL",
+    "search_statistics": """WITH r AS (SELECT *, start_vertex IS NOT NULL AS fine, CASE WHEN elapsed_s > 0 AND start_vertex IS NOT NULL THEN elapsed_s END AS s FROM (
+  SELECT *, row_number() OVER (PARTITION BY nv_scale ORDER BY run_id) AS n FROM bfs_run) WHERE n > 1)
+SELECT nv_scale, count(*) AS runs, count(*) FILTER (fine) AS done, count(*) FILTER (NOT fine) AS failed, round(avg(s), 6) AS mean_s, round(min(s), 6) AS min_s, round(max(s), 6) AS max_s,
+  round(count(s) / sum(s / pow(2.0::DOUBLE, nv_scale)), 3) AS rate FROM r GROUP BY nv_scale""",
+    "restocked": """SELECT l_partkey, l_suppkey, CASE WHEN q < 15 THEN q + 50 ELSE q END AS quantity FROM (SELECT l_partkey, l_suppkey, min(l_quantity)::INT AS q FROM lineitem GROUP BY ALL)""",
 }

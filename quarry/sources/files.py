@@ -163,3 +163,13 @@ def crc16_column(df: DataFrame, column: str) -> DataFrame:
         return s.map(one)
 
     return df.withColumn("crc16", crc(F.col(column)))
+
+
+def read_flat(spark: SparkSession, path: str, schema, sep: str = "\t") -> DataFrame:
+    """Flat files of separated fields under a given schema; a field that does not fit is an error."""
+    return spark.read.schema(schema).option("sep", sep).option("mode", "FAILFAST").option("nullValue", "").csv(path)
+
+
+def write_flat(rows: DataFrame, path: str, sep: str = "\t") -> None:
+    """The same, one file per task; nulls are empty fields."""
+    rows.write.mode("overwrite").option("sep", sep).option("nullValue", "").option("emptyValue", "").csv(path)

@@ -20,7 +20,6 @@ from quarry.session import Scratch
 
 #: Fixed values of the search: candidates per k ln k, and its stopping share.
 CANDIDATE_FACTOR = 3
-ROUGH, FINE = 0.1, 0.001
 #: Points of a chunk; with 128 coordinates about 20 MB, and twice that for its cost table.
 CHUNK_ROWS = 20_000
 
@@ -90,59 +89,84 @@ def total_cost(points: DataFrame, centres: np.ndarray) -> float:
     return float(_reduce(points, lambda w, x: np.array([(w * _sq(x, centres).min(1)).sum()]), 1)[0])
 
 
-def search(w: np.ndarray, x: np.ndarray, kmin: int, kmax: int, seed: int = 1, max_moves: int = 400) -> np.ndarray:
-    """Medians of one chunk in memory: between kmin and kmax of them, found by binary search on the
-    facility cost. With at most kmax points every point is one.
+def speedy_opening(d: np.ndarray, z: float, draws: np.ndarray) -> list[int]:
+    """Candidates opened in one walk at facility cost z: the first, and each whose cost to those open so
+    far, as a share of z, exceeds its draw from [0, 1). ``d[i, j]`` is what j costs when served by i."""
+    open_, cost = [0], d[0].copy()
+    for i in range(1, len(d)):
+        if draws[i] * z < cost[i]:
+            open_.append(i)
+            np.minimum(cost, d[i], out=cost)
+    return open_
+
+
+#: Facility costs tried before the nearest number of medians is mended by hand.
+COST_STEPS = 40
+#: Relative gain below which no further candidate is opened.
+LEAST_GAIN = 1e-4
 
-    Candidates are 3 kmax ln kmax points drawn by weight. A move opens the candidate that lowers
-    cost + z k most and closes the centres that no longer pay.
+
+def search(w: np.ndarray, x: np.ndarray, kmin: int, kmax: int, seed: int = 1, max_moves: int = 400) -> np.ndarray:
+    """Medians of one chunk in memory: between kmin and kmax of them. With at most kmax points every
+    point is one.
+
+    Candidates are 3 kmax ln kmax points drawn by weight. For a facility cost z a walk opens a first
+    set, then each move opens the candidate that lowers cost + z k most and closes the medians that no
+    longer pay. The dearer a facility, the fewer pay: z is the geometric middle of a bracket that
+    shrinks around the wanted number. If no z hits it, medians that are missed least are closed, or
+    the points served worst are opened.
     """
     if len(x) <= kmax:
         return x.copy()
     rng = np.random.default_rng(seed)
     n = min(len(x), max(kmax + 1, int(CANDIDATE_FACTOR * kmax * math.log(max(2, kmax)))))
-    pick = np.argsort(rng.exponential(size=len(x)) / w, kind="stable")[:n]
-    cand = x[np.sort(pick)]
+    pick = np.sort(np.argsort(rng.exponential(size=len(x)) / w, kind="stable")[:n])
+    cand = x[pick]
     d = _sq(cand, x) * w[None]  # candidate x point costs, once
-    open_ = [0]
-    hi, lo = float(d[0].sum()), 0.0
-    z = hi / 2
-
-    def settle(open_: list[int], z: float, stop: float) -> list[int]:
-        for _ in range(max_moves):
-            own = d[open_].argmin(0)
-            cost = d[open_][own, np.arange(d.shape[1])]
-            total = float(cost.sum())
-            diff = d - cost[None]
-            member = np.zeros((len(open_), d.shape[1]))
-            member[own, np.arange(d.shape[1])] = 1
-            low = z - np.maximum(diff, 0) @ member.T  # candidate x centre: what closing it gives
-            change = z + np.minimum(diff, 0).sum(1) - np.maximum(low, 0).sum(1)
-            change[open_] = np.inf
-            best = int(change.argmin())
-            if not change[best] < -stop * max(total, 1e-12):
-                break
-            trial = [c for i, c in enumerate(open_) if low[best, i] <= 0] + [best]
-            now = float(d[trial].min(0).sum())
-            if now + z * len(trial) >= total + z * len(open_):
-                break
-            open_ = trial
-        return open_
-
-    for _ in range(64):
-        open_ = settle(open_, z, ROUGH)
-        if 0.9 * kmin <= len(open_) <= 1.1 * kmax or kmin - 2 <= len(open_) <= kmax + 2:
-            open_ = settle(open_, z, FINE)
-        if kmin <= len(open_) <= kmax or lo >= 0.999 * hi:
+    draws = rng.random(n)
+    top = max(float(d[0].sum()), 1e-300)
+    low_z, high_z = top / len(x) * 1e-6, top
+    open_: list[int] = []
+    for _ in range(COST_STEPS):
+        z = math.sqrt(low_z * high_z)
+        open_ = _settle(d, speedy_opening(d[:, pick], z, draws), z, max_moves)
+        if kmin <= len(open_) <= kmax:
             break
-        if len(open_) > kmax:
-            lo = z
-        else:
-            hi = z
-        z = (hi + lo) / 2
+        low_z, high_z = (z, high_z) if len(open_) > kmax else (low_z, z)
+    while len(open_) > kmax:
+        two = np.partition(d[open_], 1, axis=0)[:2]
+        own = d[open_].argmin(0)
+        open_.pop(int(np.bincount(own, weights=two[1] - two[0], minlength=len(open_)).argmin()))
+    while len(open_) < min(kmin, n):
+        gain = np.maximum(d[open_].min(0)[None] - d, 0).sum(1)
+        gain[open_] = -1
+        open_.append(int(gain.argmax()))
     return cand[open_]
 
 
+def _settle(d: np.ndarray, open_: list[int], z: float, max_moves: int) -> list[int]:
+    """Opens and closes candidates while that lowers cost + z k by more than ``LEAST_GAIN`` of the cost."""
+    at = np.arange(d.shape[1])
+    for _ in range(max_moves):
+        own = d[open_].argmin(0)
+        cost = d[open_][own, at]
+        total = float(cost.sum())
+        diff = d - cost[None]
+        member = np.zeros((len(open_), len(at)))
+        member[own, at] = 1
+        low = z - np.maximum(diff, 0) @ member.T  # candidate x median: what closing it gives
+        change = z + np.minimum(diff, 0).sum(1) - np.maximum(low, 0).sum(1)
+        change[open_] = np.inf
+        best = int(change.argmin())
+        if not change[best] < -LEAST_GAIN * max(total, 1e-12):
+            break
+        trial = [c for i, c in enumerate(open_) if low[best, i] <= 0] + [best]
+        if float(d[trial].min(0).sum()) + z * len(trial) >= total + z * len(open_):
+            break
+        open_ = trial
+    return open_
+
+
 def _centroids(w: np.ndarray, x: np.ndarray, medians: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     own = _sq(x, medians).argmin(1)
     weight = np.bincount(own, weights=w, minlength=len(medians))

@@ -179,3 +179,74 @@ def test_kmedian_bad_points(spark):
     pts = spark.createDataFrame([(1, 1.0, [1.0, 2.0]), (2, None, [3.0, 4.0]), (3, -1.0, [3.0, 4.0]), (4, 1.0, [None, 2.0]), (5, 1.0, None), (6, float("nan"), [1.0, 1.0])], "pid long, weight float, coord array<float>")
     assert kmedian.kmedian(pts, 2, 1, 5).agg(F.sum("weight")).first()[0] == 2.0
     assert kmedian.kmedian(pts.limit(0), 2, 1, 5).count() == 0
+
+
+def test_unique_and_combine(spark):
+    a = spark.createDataFrame([(0, 1.0), (1, None), (2, 1.0)], "idx long, value double")
+    assert sorted((r["value"] is None, r["value"]) for r in arrays.unique(a).collect()) == [(False, 1.0), (True, None)]
+    b = spark.createDataFrame([(0, 5.0), (1, 2.0), (9, 3.0)], "idx long, value double")
+    assert {r["idx"]: r["value"] for r in arrays.combine(a, b).collect()} == {0: 6.0, 1: 2.0, 2: 1.0, 9: 3.0}
+    assert {r["idx"]: r["value"] for r in arrays.combine(a, b, "max").collect()}[0] == 5.0
+
+
+def test_run_statistics(spark):
+    log = spark.createDataFrame([(1, "a", 9.0, 10, True), (2, "a", 2.0, 10, True), (3, "a", 4.0, 10, True), (4, "a", None, 10, True), (5, "a", 1.0, 10, False), (6, "b", 1.0, 1, True)], "run long, kind string, s double, w long, fine boolean")
+    r = {x["kind"]: x for x in scans.run_statistics(log, ["kind"], "s", "w", "fine", "run").collect()}
+    assert set(r) == {"a"} and (r["a"]["runs"], r["a"]["done"], r["a"]["failed"], r["a"]["mean_s"]) == (4, 3, 1, 3.0)
+    assert r["a"]["rate"] == pytest.approx(2 / (0.2 + 0.4))
+
+
+def test_prefix_scan_and_consecutive_reads(spark):
+    t = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "c")], "a int, b int, v string")
+    assert {r["v"] for r in scans.prefix_scan(t, {"a": 1}).collect()} == {"a", "b"}
+    keys = spark.createDataFrame([(k, k * k) for k in (1, 2, 4, 9)], "k long, v long")
+    asked = spark.createDataFrame([(1, 1), (2, 8)], "txn int, first long")
+    got = scans.consecutive_reads(keys, asked, "k", "first", 4).collect()
+    assert {(r["txn"], r["k"], r["v"]) for r in got} == {(1, 1, 1), (1, 2, 4), (1, 4, 16), (2, 9, 81)}
+
+
+def test_first_crossing(spark):
+    import random
+
+    rng = random.Random(1)
+    ticks = [(s, rng.choice("AB"), float(rng.randrange(20))) for s in range(60)]
+    asked = [(i, rng.choice("ABC"), float(rng.randrange(-2, 22))) for i in range(40)] + [(99, "A", None)]
+    t = spark.createDataFrame([*ticks, (60, "A", None)], "seq long, symbol string, price double")
+    r = spark.createDataFrame(asked, "id long, symbol string, bid double")
+    for rising in (False, True):
+        got = {x["id"]: x["hit"] for x in scans.first_crossing(r, t, "symbol", "bid", "price", "seq", rising).collect()}
+        want = {i: min((s for s, k, p in ticks if k == c and b is not None and (p >= b if rising else p <= b)), default=None) for i, c, b in asked}
+        assert got == want
+
+
+def test_flat_files_and_edge_parts(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a", None), (2, None, 2.5)], "k int, s string, x double")
+    files.write_flat(rows, str(tmp_path / "f"))
+    assert sorted(map(tuple, files.read_flat(spark, str(tmp_path / "f"), rows.schema).collect())) == [(1, "a", None), (2, None, 2.5)]
+    edges = spark.range(40).selectExpr("id as src", "id + 1 as dst").repartition(4)
+    files.write_edges(edges, str(tmp_path / "e"))
+    parts = sorted((tmp_path / "e").glob("part-*"))
+    lines = "".join(p.read_text() for p in parts).splitlines()
+    assert len(parts) > 2 and lines[0] == "41 40" and sorted(lines[1:]) == sorted(f"{k} {k + 1}" for k in range(40))
+
+
+def test_point_files_are_read_in_ranges(spark, tmp_path):
+    x = np.arange(60, dtype="<f4").reshape(30, 2)
+    (tmp_path / "p.bin").write_bytes(x.tobytes())
+    (tmp_path / "q.bin").write_bytes(b"")
+    got = files.read_point_blocks(spark, str(tmp_path), 2, chunk_points=7).orderBy("at").collect()
+    assert [r["at"] for r in got] == list(range(30)) and [r["coord"] for r in got] == x.tolist()
+
+
+def test_medians_stay_within_their_bounds():
+    from quarry.streaming import kmedian
+
+    rng = np.random.default_rng(0)
+    x = np.concatenate([rng.normal(c, 0.05, (40, 3)) for c in rng.normal(size=(7, 3)) * 5])
+    for low, high in ((7, 7), (2, 3), (20, 25)):
+        got = kmedian.search(np.ones(len(x)), x, low, high)
+        assert low <= len(got) <= high and all((x == g).all(1).any() for g in got)
+    seven = kmedian.search(np.ones(len(x)), x, 7, 7)
+    assert kmedian._sq(x, seven).min(1).max() < 1
+    d = kmedian._sq(x, x)
+    assert len(kmedian.speedy_opening(d, 1e12, rng.random(len(x)))) < 5 and len(kmedian.speedy_opening(d, 1e-9, rng.random(len(x)) * 0.5)) == len(x)
