@@ -28,11 +28,12 @@ def read_edges(spark: SparkSession, path: str, kind: str = "tsv", weighted: bool
     return read_edges_tsv(spark, path, weighted)
 
 
-def write_edges(edges: DataFrame, path: str, kind: str = "mtx", single: bool = False) -> None:
+def write_edges(edges: DataFrame, path: str, kind: str = "mtx", single: bool = True) -> None:
     """``mtx``: a first line ``vertices edges``, then one line ``v0 v1`` an edge.
 
-    The first part file holds the first line, the others the edges, task by task; put together in the
-    order of their names they are the file. ``single`` writes one part instead, by one task.
+    ``single`` writes one file, by one task. Without it, for edges too many for that, the first part
+    file holds the first line and the others the edges, task by task; put together in the order of
+    their names they are the file.
     """
     if kind != "mtx":
         raise ValueError(f"unknown edge format {kind!r}")

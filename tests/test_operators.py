@@ -224,7 +224,7 @@ def test_flat_files_and_edge_parts(spark, tmp_path):
     files.write_flat(rows, str(tmp_path / "f"))
     assert sorted(map(tuple, files.read_flat(spark, str(tmp_path / "f"), rows.schema).collect())) == [(1, "a", None), (2, None, 2.5)]
     edges = spark.range(40).selectExpr("id as src", "id + 1 as dst").repartition(4)
-    files.write_edges(edges, str(tmp_path / "e"))
+    files.write_edges(edges, str(tmp_path / "e"), single=False)
     parts = sorted((tmp_path / "e").glob("part-*"))
     lines = "".join(p.read_text() for p in parts).splitlines()
     assert len(parts) > 2 and lines[0] == "41 40" and sorted(lines[1:]) == sorted(f"{k} {k + 1}" for k in range(40))
